@@ -283,6 +283,45 @@ def class_rank(df: DataFrame, by: str, order: str | Column, out: str = "class_ra
     return ordered.mapInPandas(number, schema).drop("_ord")
 
 
+def running_sums(df: DataFrame, order: str, cols: Sequence[str], descending: bool = False,
+                 inclusive: bool = True, partitions: int | None = None) -> DataFrame:
+    """Running totals of ``cols`` along a global order (``cum_<col>``),
+    without an unpartitioned window: range partitions, per-partition totals
+    (one scalar per partition and column) as offsets, local ``cumsum``.
+    ``order`` values must be unique (e.g. one row per distinct score)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    ordered = cut_lineage(df.repartitionByRange(n, o).sortWithinPartitions(o))
+    tots = ordered.groupBy(F.spark_partition_id().alias("pid")).agg(
+        *[F.sum(c).alias(c) for c in cols]).collect()
+    offsets, run = {}, {c: 0 for c in cols}
+    for r in sorted(tots, key=lambda r: r["pid"]):
+        offsets[r["pid"]] = dict(run)
+        for c in cols:
+            run[c] += r[c] or 0
+    bc = spark.sparkContext.broadcast(offsets)
+    types = dict(ordered.dtypes)
+    fields = list(ordered.schema.fields) + [
+        T.StructField(f"cum_{c}", T.DoubleType() if types[c] in ("double", "float") else T.LongType(), False)
+        for c in cols]
+
+    def accumulate(it):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry = dict(bc.value.get(pid, {c: 0 for c in cols}))
+        for pdf in it:
+            if pdf.empty:
+                continue
+            add = {}
+            for c in cols:
+                cs = pdf[c].fillna(0).cumsum()
+                add[f"cum_{c}"] = (cs if inclusive else cs - pdf[c].fillna(0)) + carry[c]
+                carry[c] = carry[c] + pdf[c].fillna(0).sum()
+            yield pdf.assign(**add)
+    return ordered.mapInPandas(accumulate, T.StructType(fields))
+
+
 def stratified_split(df: DataFrame, y: str, key: str, test: float = 0.2, seed: int = X.DEFAULT_SEED,
                      out: str = "is_test") -> DataFrame:
     """C-W2: per class, the first ceil(n_c * test) rows in md5(seed:key) order

@@ -37,7 +37,7 @@ def rounded_sql(sql: str, places: int = 6) -> str:
         if dtype in ("DOUBLE", "FLOAT", "REAL") or dtype.startswith("DECIMAL"):
             out.append(f"round(CAST({q} AS DOUBLE), {places}) AS {q}")
         elif dtype in ("DOUBLE[]", "FLOAT[]"):
-            out.append(f"list_transform({q}, x -> round(CAST(x AS DOUBLE), {places})) AS {q}")
+            out.append(f"list_transform({q}, lambda x: round(CAST(x AS DOUBLE), {places})) AS {q}")
         else:
             out.append(q)
     return f"SELECT {', '.join(out)} FROM (\n{sql}\n) AS q"
