@@ -241,6 +241,21 @@ def best_per_key(df: DataFrame, key: str | Sequence[str], score: str, tie: str,
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
+def top_k_per_key(df: DataFrame, key: str, order: str | Column, k: int, out: str = "rank") -> DataFrame:
+    """The k first rows per key by ``order`` (unique per key), exact.
+
+    Two phases so a hot key never lands whole in one task: rows are first
+    ranked inside (key, salt) groups, where salt spreads a key over 64
+    buckets, and only each bucket's k first survive; the final window then
+    sees at most 64 k rows per key."""
+    o = order if isinstance(order, Column) else F.col(order)
+    d = df.withColumn("_o", o).withColumn("_salt", F.pmod(F.hash(F.col("_o")), F.lit(64)))
+    w1 = Window.partitionBy(key, "_salt").orderBy("_o")
+    pre = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(key).orderBy("_o")
+    return pre.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k).drop("_o")
+
+
 def class_rank(df: DataFrame, by: str, order: str | Column, out: str = "class_rank",
                partitions: int | None = None) -> DataFrame:
     """0-based rank of every row inside its ``by`` group, ordered by ``order``
