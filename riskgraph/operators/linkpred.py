@@ -158,3 +158,69 @@ def entity_pest_affinity(g: G.Graph, pest_entities: DataFrame, entity_label: str
         F.col("node").alias("node_id"),
         F.coalesce("cn_pest", F.lit(0)).cast("long").alias("cn_pest"),
         F.coalesce("aa_pest", F.lit(0.0)).alias("aa_pest"))
+
+
+def _pair_order(seed: int = X.DEFAULT_SEED):
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("entity_node_id"), F.lit("|"), F.col("pest_node_id")))
+
+
+def link_train_set(g: G.Graph, test: float = 0.2, train: float = 0.6, folds: int = 3,
+                   seed: int = X.DEFAULT_SEED) -> DataFrame:
+    """L-8: every existing entity-outcome link (label 1) and as many unlinked
+    pairs (label 0, md5 order); per class the first ceil(.2 n) rows are
+    test, the next ceil(.6 of the rest) train, the remainder are kept for
+    feature computation; fold = rank mod 3."""
+    links = G.entity_outcome_links(g).select("entity_node_id", "pest_node_id")
+    pairs = candidate_pairs(g)
+    neg = pairs.where(~F.col("has_existing_relationship")).select("entity_node_id", "pest_node_id")
+    n_pos = links.count()
+    neg = R.class_rank(neg.withColumn("_g", F.lit(0)), "_g", _pair_order(seed), out="_rk") \
+        .where(F.col("_rk") < n_pos).drop("_g", "_rk")
+    samples = links.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
+    ranked = R.class_rank(samples, "label", _pair_order(seed), out="_rk")
+    sizes = ranked.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = F.broadcast(sizes.withColumn("_t", F.ceil(F.col("_n") * test))
+                        .withColumn("_tr", F.col("_t") + F.ceil((F.col("_n") - F.col("_t")) * train)))
+    j = ranked.join(sizes, ranked["label"] == sizes["_l"])
+    return j.select("entity_node_id", "pest_node_id", "label",
+                    F.when(F.col("_rk") < F.col("_t"), "test").when(F.col("_rk") < F.col("_tr"), "train")
+                    .otherwise("feature").alias("split"),
+                    F.pmod(F.col("_rk"), F.lit(folds)).cast("int").alias("fold"))
+
+
+def link_features(g: G.Graph, pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """L-9: the four heuristics and the cosine of the two nodes' vectors as
+    one feature array (cosine 0 where a vector is missing or zero)."""
+    s = pair_scores(G.adjacency(g), pairs, a="entity_node_id", b="pest_node_id")
+    cols = ["adamic_adar_score", "jaccard_score", "common_neighbors_count", "preferential_attachment_score"]
+    if vectors is not None:
+        s = cosine_similarity(s, vectors, a="entity_node_id", b="pest_node_id")
+        s = s.withColumn("cosine_similarity", F.coalesce("cosine_similarity", F.lit(0.0)))
+        cols.append("cosine_similarity")
+    return s.withColumn("features", F.array(*[F.col(c).cast("double") for c in cols]))
+
+
+def link_model_predictions(g: G.Graph, samples: DataFrame, top_n: int = 10_000, threshold: float = 0.5,
+                           dim: int = 32) -> DataFrame:
+    """L-10 + L-11: logistic regression (penalty 1 as regParam 1 / n, 1000
+    iterations) on the train split; every unlinked pest-outcome pair scored;
+    the outcome filter runs before the top-N cut; best row per entity."""
+    from riskgraph.operators import embed as EM
+    from riskgraph.operators import models as MD
+    vec = EM.fastrp(g, dim=dim, weights=(0.0, 1.0, 1.0))
+    feats = cut_lineage(link_features(g, samples, vec))
+    train = feats.where(F.col("split") == "train")
+    n = train.count()
+    lr = MD.LogisticRegression(maxIter=1000, regParam=1.0 / max(n, 1), featuresCol="vec", labelCol="label")
+    m, sd = MD.fit_standard_scaler(train)
+    model = lr.fit(MD.with_vector(MD.apply_scaler(train, m, sd)))
+    cand = candidate_pairs(g).where(~F.col("has_existing_relationship") & (F.col("pest_value") == 1))
+    cf = MD.apply_scaler(link_features(g, cand.select("entity_id", "entity_node_id", "pest_node_id"), vec), m, sd)
+    scored = model.transform(MD.with_vector(cf)).withColumn(
+        "pipeline_pest_score", MD.vector_to_array(F.col("probability"))[1])
+    top = R.top_n(scored.select("entity_id", "pipeline_pest_score"), top_n, "pipeline_pest_score", "entity_id")
+    top = top.withColumn("pipeline_pest_binary", X.threshold("pipeline_pest_score", threshold))
+    links = G.entity_outcome_links(g)
+    actual = R.entity_targets(links).select("entity_id", F.col("has_pest").alias("has_actual_pest"))
+    best = R.best_per_key(top, "entity_id", "pipeline_pest_score", "entity_id")
+    return R.attach_actuals(best, actual, "entity_id")

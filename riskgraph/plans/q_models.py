@@ -1,3 +1,297 @@
-"""Registered queries."""
+"""Registered queries: scalers, model jobs, link model, scoring, cold start
+(§2.M, §2.L L-8..L-11).  Learned results are checked by rows and invariants
+(tests/); scalers and the link training set have exact SQL."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskgraph.functions import expr as X
+from riskgraph.operators import centrality as C
+from riskgraph.operators import graph as G
+from riskgraph.operators import linkpred as L
+from riskgraph.operators import metrics as M
+from riskgraph.operators import models as MD
+from riskgraph.operators import relational as R
+from riskgraph.plans import sql as S
+from riskgraph.plans.registry import query
+from riskgraph.session import cut_lineage, ensure_checkpoint_dir
+from riskgraph.sources import fixtures as FX
+
+_SPLIT = """ranked AS (
+  SELECT vec_id AS entity_id, embedding, CAST(label >= 5 AS INTEGER) AS y,
+         row_number() OVER (PARTITION BY CAST(label >= 5 AS INTEGER)
+                            ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)) || ':' || CAST(vec_id AS VARCHAR)) - 1 AS rk,
+         count(*) OVER (PARTITION BY CAST(label >= 5 AS INTEGER)) AS n
+  FROM embeddings),
+split AS (SELECT *, rk < ceil(n * 0.2) AS is_test FROM ranked)"""
+
+
+def _split(spark, sf):
+    v = FX.embedding_vectors(spark, sf)
+    return R.stratified_split(v, "label", "entity_id", 0.2, 42)
+
+
+def _scale_sql(kind: str) -> str:
+    if kind == "standard":
+        stats = ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS m{i}, "
+                          f"CASE WHEN stddev_pop(CAST(embedding[{i + 1}] AS DOUBLE)) > 0 "
+                          f"THEN stddev_pop(CAST(embedding[{i + 1}] AS DOUBLE)) ELSE 1.0 END AS s{i}" for i in range(64))
+    else:
+        stats = ", ".join(f"quantile_cont(CAST(embedding[{i + 1}] AS DOUBLE), 0.5) AS m{i}, "
+                          f"CASE WHEN quantile_cont(CAST(embedding[{i + 1}] AS DOUBLE), 0.75) - "
+                          f"quantile_cont(CAST(embedding[{i + 1}] AS DOUBLE), 0.25) <> 0 THEN "
+                          f"quantile_cont(CAST(embedding[{i + 1}] AS DOUBLE), 0.75) - "
+                          f"quantile_cont(CAST(embedding[{i + 1}] AS DOUBLE), 0.25) ELSE 1.0 END AS s{i}"
+                          for i in range(64))
+    arr = ", ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - m{i}) / s{i}" for i in range(64))
+    return S.with_(_SPLIT, f"st AS (SELECT {stats} FROM split WHERE NOT is_test)") + \
+        f"SELECT entity_id, [{arr}] AS features FROM split CROSS JOIN st"
+
+
+@query("standard_scale", sql=_scale_sql("standard"))
+def q_standard_scale(spark, sf):
+    """M-F1: (x - mean) / population std, fitted on the training rows."""
+    s = _split(spark, sf)
+    m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
+    return MD.apply_scaler(s, m, sd).select("entity_id", "features")
+
+
+@query("robust_scale", sql=_scale_sql("robust"))
+def q_robust_scale(spark, sf):
+    """M-F2: (x - median) / IQR, fitted on the training rows (exact percentiles)."""
+    s = _split(spark, sf)
+    m, sd = MD.fit_robust_scaler(s.where(~F.col("is_test")))
+    return MD.apply_scaler(s, m, sd).select("entity_id", "features")
+
+
+def _scaled_split(spark, sf):
+    s = _split(spark, sf)
+    m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
+    s = cut_lineage(MD.apply_scaler(s, m, sd))
+    return s.where(~F.col("is_test")), s.where(F.col("is_test"))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    """M-V10 / M-T1..T4, T6, T7, T10: every model on one split, one metrics row each."""
+    train, test = _scaled_split(spark, sf)
+    return MD.compare_models(train, test)
+
+
+@query("leaderboard")
+def q_leaderboard(spark, sf):
+    """C-O4: top 5 models by ROC AUC from the comparison."""
+    train, test = _scaled_split(spark, sf)
+    return R.leaderboard(MD.compare_models(train, test).where(F.col("error").isNull()), "roc_auc", "model", 5)
+
+
+@query("cross_validate")
+def q_cross_validate(spark, sf):
+    """M-V1: 5-fold ROC AUC mean and std of logistic regression."""
+    train, _ = _scaled_split(spark, sf)
+    return MD.cross_validate(MD.classifier("lr"), train, 5, "areaUnderROC")
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    """M-V2: logistic-regression grid (16 settings) x 5 folds, F1 per setting."""
+    train, _ = _scaled_split(spark, sf)
+    grid = {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.25, 0.5, 1.0]}
+    return MD.grid_search("lr", grid, train, 5)
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """M-V8: random-forest importances with names and groups, sorted."""
+    train, _ = _scaled_split(spark, sf)
+    model = MD.classifier("rf", 64).fit(MD.with_vector(train))
+    names = [f"embed_{i:02d}" for i in range(64)]
+    return M.feature_importance(spark, model.featureImportances.toArray().tolist(), names,
+                                M.feature_groups(names))
+
+
+def _holdout(spark, sf):
+    v = FX.embedding_vectors(spark, sf)
+    ranked = R.class_rank(v.withColumn("_g", F.lit(0)), "_g",
+                          F.concat(X.seeded_order("entity_id"), F.lit(":"), F.col("entity_id").cast("string")))
+    n = v.count()
+    return cut_lineage(ranked.withColumn("is_holdout", F.col("class_rank") >= F.lit(int(n * 0.8))).drop("_g"))
+
+
+@query("holdout_evaluation")
+def q_holdout(spark, sf):
+    """M-V11: fit on the non-holdout rows, score the md5-holdout fifth;
+    metrics on both and the train-minus-holdout AUC gap."""
+    h = _holdout(spark, sf)
+    train, hold = h.where(~F.col("is_holdout")), h.where(F.col("is_holdout"))
+    est = MD.classifier("rf", 64, numTrees=100, maxDepth=10)
+    p_train = MD.fit_score(est, train, train)
+    p_hold = MD.fit_score(est, train, hold)
+    a_tr = M.roc_auc(p_train, "label", "score").first()["roc_auc"]
+    a_ho = M.roc_auc(p_hold, "label", "score").first()["roc_auc"]
+    m = M.binary_metrics(p_hold, "label", "prediction").first()
+    return spark.createDataFrame([(float(m["accuracy"]), float(m["f1"]), float(a_tr), float(a_ho),
+                                   float(a_tr - a_ho))],
+                                 "accuracy double, f1 double, train_auc double, holdout_auc double, auc_gap double")
+
+
+@query("classification_report_model")
+def q_class_report_model(spark, sf):
+    """M-V6 / M-V9 on model output: report and confusion of the RF holdout predictions."""
+    h = _holdout(spark, sf)
+    p = MD.fit_score(MD.classifier("rf", 64), h.where(~F.col("is_holdout")), h.where(F.col("is_holdout")))
+    return M.classification_report(p, "label", "prediction")
+
+
+@query("flatten_report")
+def q_flatten_report(spark, sf):
+    """B-P19 / A-W2: model metrics flattened to (section, metric, value), 4 places, written as JSON."""
+    train, test = _scaled_split(spark, sf)
+    p = MD.fit_score(MD.classifier("lr"), train, test)
+    bm = M.binary_metrics(p, "label", "prediction")
+    long = bm.unpivot([], bm.columns, "metric", "value").select(
+        F.lit("test_metrics").alias("section"), "metric", F.round("value", 4).alias("value"))
+    from riskgraph.sources.sinks import write_report
+    write_report(long, ensure_checkpoint_dir(spark).rstrip("/") + "/training_report")
+    return long
+
+
+def _entity_features(spark, sf):
+    """Per-entity features: projection degree and PageRank (target edges
+    excluded, T7), inspection count and mean trailing counters; label and
+    rate from C-A2."""
+    i = FX.inspections(spark, sf)
+    g = G.pest_projection(i, exclude_target_edges=True)
+    ents = G.nodes_of(g, "Entity").select("node_id", F.col("key").cast("long").alias("entity_id"))
+    deg = G.degrees(g, "out")
+    pr = C.pagerank(g, 20)
+    stats = i.groupBy(F.col("enty_id").alias("entity_id")).agg(
+        F.count(F.lit(1)).alias("total_inspections"),
+        F.avg("enty_exams_90d").alias("exams_90d"), F.avg("enty_exams_1yr").alias("exams_1yr"))
+    tgt = R.entity_targets_by_inspection(i).select("entity_id", "has_pest", "pest_rate")
+    f = ents.join(deg, "node_id").join(pr, "node_id").join(stats, "entity_id").join(tgt, "entity_id")
+    feats = ["degree", "pagerank", "total_inspections", "exams_90d", "exams_1yr"]
+    return cut_lineage(f.select("entity_id", F.array(*[F.col(c).cast("double") for c in feats]).alias("features"),
+                                F.col("has_pest").alias("label"), "pest_rate"))
+
+
+@query("node_classification")
+def q_node_classification(spark, sf):
+    """M-P1: entity features -> stratified split -> logistic regression ->
+    class, both probabilities, three-band risk, actual class."""
+    f = _entity_features(spark, sf)
+    s = R.stratified_split(f, "label", "entity_id", 0.2, 42)
+    m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
+    s = MD.apply_scaler(s, m, sd)
+    p = MD.fit_score(MD.classifier("lr"), s.where(~F.col("is_test")), s)
+    return p.select("entity_id", F.col("prediction").alias("predicted_pest_class"),
+                    (1.0 - F.col("score")).alias("prob_no_pest"), F.col("score").alias("prob_pest"),
+                    F.col("label").alias("actual_pest_class"),
+                    X.risk_band("score", "three").alias("pest_risk_category"))
+
+
+@query("node_regression")
+def q_node_regression(spark, sf):
+    """M-P2: entity features -> linear regression (penalty 1) of the pest
+    rate -> clip -> thresholds .5/.3/.2 -> five-band risk."""
+    f = _entity_features(spark, sf).withColumn("label", F.col("pest_rate"))
+    m, sd = MD.fit_standard_scaler(f)
+    f = MD.apply_scaler(f, m, sd)
+    p = MD.fit_predict_regression(MD.regressor("lin"), f, f)
+    sc = X.clip("prediction")
+    return p.select("entity_id", sc.alias("predicted_pest_score"), F.col("pest_rate").alias("actual_pest_score"),
+                    X.threshold(sc, 0.5).alias("predicted_pest_binary_05"),
+                    X.threshold(sc, 0.3).alias("predicted_pest_binary_03"),
+                    X.threshold(sc, 0.2).alias("predicted_pest_binary_02"),
+                    X.risk_band(sc, "five").alias("pest_risk_category"),
+                    X.threshold("pest_rate", 0.0, strict=True).alias("actual_pest_binary"))
+
+
+@query("ml_combined")
+def q_ml_combined(spark, sf):
+    """M-P3: classification (random forest) and regression (random forest)
+    merged by a full outer join, with actuals, bands and thresholds."""
+    f = _entity_features(spark, sf)
+    c = MD.fit_score(MD.classifier("rf", 5), f, f).select(
+        "entity_id", F.col("prediction").alias("ml_predicted_class"),
+        (1.0 - F.col("score")).alias("ml_prob_no_pest"), F.col("score").alias("ml_prob_pest"))
+    r = MD.fit_predict_regression(MD.regressor("rf"), f.withColumn("label", F.col("pest_rate")), f) \
+        .select("entity_id", X.clip("prediction").alias("ml_predicted_score"))
+    merged = R.merge_predictions(c, r, "entity_id")
+    act = f.select("entity_id", F.col("label").alias("actual_pest_binary"), F.col("pest_rate").alias("actual_pest_rate"))
+    out = R.attach_actuals(merged, act, "entity_id")
+    return out.withColumns({"ml_pest_risk_category": X.risk_band("ml_predicted_score", "five"),
+                            "ml_score_binary_05": X.threshold("ml_predicted_score", 0.5),
+                            "ml_score_binary_03": X.threshold("ml_predicted_score", 0.3)})
+
+
+_LINK_SAMPLES = S.with_(S.BASE, S.NODES, S.MERGED_EDGES, S.LINKS) + """,
+ents AS (SELECT DISTINCT entity_node_id FROM links),
+outs AS (SELECT node_id AS pest_node_id FROM nodes WHERE label = 'TargetProxy'),
+neg AS (SELECT e.entity_node_id, o.pest_node_id FROM ents e CROSS JOIN outs o
+        WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.entity_node_id = e.entity_node_id AND l.pest_node_id = o.pest_node_id)),
+negr AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || entity_node_id || '|' || pest_node_id)) - 1 AS rk FROM neg),
+samples AS (SELECT entity_node_id, pest_node_id, 1 AS label FROM links
+            UNION ALL SELECT entity_node_id, pest_node_id, 0 FROM negr WHERE rk < (SELECT count(*) FROM links)),
+sr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || entity_node_id || '|' || pest_node_id)) - 1 AS rk,
+              count(*) OVER (PARTITION BY label) AS n FROM samples)
+SELECT entity_node_id, pest_node_id, label,
+       CASE WHEN rk < ceil(n * 0.2) THEN 'test' WHEN rk < ceil(n * 0.2) + ceil((n - ceil(n * 0.2)) * 0.6) THEN 'train'
+            ELSE 'feature' END AS split,
+       CAST(rk % 3 AS INTEGER) AS fold
+FROM sr"""
+
+
+def link_samples(spark, sf):
+    g = G.stored_graph(FX.inspections(spark, sf, with_counters=False))
+    return g, L.link_train_set(g)
+
+
+@query("link_train_set", sql=_LINK_SAMPLES)
+def q_link_train_set(spark, sf):
+    """L-8: linked pairs + as many unlinked pairs (md5 order); per class .2
+    test, .6 of the rest train, the remainder for features; 3 folds."""
+    return link_samples(spark, sf)[1]
+
+
+@query("link_predictions")
+def q_link_predictions(spark, sf):
+    """L-9..L-11: pair features (four heuristics + cosine of FastRP vectors)
+    -> logistic regression -> top 10,000 pest-outcome pairs -> threshold ->
+    actuals -> best row per entity."""
+    g, samples = link_samples(spark, sf)
+    return L.link_model_predictions(g, samples, top_n=10_000, threshold=0.5)
+
+
+@query("fill_missing_embeddings")
+def q_fill_missing(spark, sf):
+    """M-C1..M-C3 / B-P12 / B-P16 / C-U1: train 64 random forests (100 trees)
+    on complete rows, predict the embedding of rows missing one, stack both."""
+    c = FX.cold_start_table(spark, sf)
+    c = X.columns_to_embedding(c, "fastrp_", "embedding")
+    known = c.where(~X.has_missing("embedding"))
+    new = c.where(X.has_missing("embedding"))
+    cats = {col: X.one_hot_categories(known, col) for col in ("category", "feature_3")}
+    enc = lambda df: X.one_hot_drop_first(X.one_hot_drop_first(df, "category", cats["category"]),
+                                          "feature_3", cats["feature_3"])
+    feats = ["feature_1", "feature_2"] + [f"category_{v}" for v in cats["category"][1:]] + \
+        [f"feature_3_{v}" for v in cats["feature_3"][1:]]
+    fitted = MD.cold_start_fit(enc(known), feats, "embedding", num_trees=100)
+    filled = MD.cold_start_predict(fitted, enc(new), feats, "enty_id")
+    out = known.select("enty_id", "embedding", F.lit(False).alias("imputed")) \
+        .unionByName(filled.withColumn("imputed", F.lit(True)))
+    return out
+
+
+@query("score_new_entities")
+def q_score_new(spark, sf):
+    """M-S1 / A-S5: save the trained model, load it and score the test rows as new entities."""
+    from pyspark.ml import Pipeline, PipelineModel
+    train, test = _scaled_split(spark, sf)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/models/best_model"
+    Pipeline(stages=[MD.classifier("rf", 64)]).fit(MD.with_vector(train)).write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    p = model.transform(MD.with_vector(test))
+    return p.select(F.col("entity_id"), F.col("prediction").cast("int").alias("pest_prediction"),
+                    MD.vector_to_array("probability")[1].alias("pest_probability"))

@@ -1,3 +1,72 @@
-"""Registered queries."""
+"""Registered queries: streaming re-aims (§2.K)."""
 
 from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from riskgraph.plans.registry import query
+from riskgraph.session import ensure_checkpoint_dir
+from riskgraph.sources import fixtures as FX
+from riskgraph.sources import tables as TB
+from riskgraph.streaming import jobs as ST
+
+EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@query("stream_trailing_counts", sql="""
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(k AS INTEGER)) AS window_start,
+       CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(k AS INTEGER)) + INTERVAL 30 DAY AS window_end,
+       user_id AS entity_id, count(*) AS exams,
+       CAST(sum(CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS pests
+FROM events CROSS JOIN range(30) r(k) GROUP BY 1, 2, 3""")
+def q_stream_trailing(spark, sf):
+    """K-2: per-entity sliding 30-day (1-day slide) exam / pest counts from a stream of events."""
+    return ST.stream_trailing_counts(spark, f"{sf.rstrip('/')}/events.parquet", EVENTS_SCHEMA)
+
+
+def line_model(spark, sf) -> PipelineModel:
+    """Logistic regression of 'returned' on the four line sums, saved and
+    re-loaded as a scoring model would be."""
+    li = TB.table(spark, sf, "lineitem")
+    lab = li.groupBy(F.col("l_suppkey").alias("filer"), F.col("l_orderkey").alias("entry_nbr"),
+                     F.col("l_linenumber").alias("line_nbr")).agg(
+        F.max((F.col("l_returnflag") == "R").cast("double")).alias("label"))
+    train = FX.line_features(spark, sf).join(lab, ["filer", "entry_nbr", "line_nbr"])
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["quantity", "extendedprice", "discount", "tax"],
+                                            outputCol="vec"),
+                            LogisticRegression(featuresCol="vec", labelCol="label", maxIter=100)])
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/models/line_model"
+    pipe.fit(train).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+@query("score_lines")
+def q_score_lines(spark, sf):
+    """M-S2 / A-S4: batch lookup of requested line keys, scored with the saved model."""
+    model = line_model(spark, sf)
+    looked = TB.lookup_features(FX.line_features(spark, sf), FX.line_keys(spark, sf),
+                                ["filer", "entry_nbr", "line_nbr"])
+    from pyspark.ml.functions import vector_to_array
+    return model.transform(looked).select("filer", "entry_nbr", "line_nbr",
+                                          vector_to_array("probability")[1].alias("score"),
+                                          F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """K-1: a stream of line keys (the lineitem file) joined to the feature
+    table and scored with the saved model."""
+    model = line_model(spark, sf)
+    keys_schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"
+    feats = FX.line_features(spark, sf)
+    spark_keys = f"{sf.rstrip('/')}/lineitem.parquet"
+    keys = ST.read_stream(spark, spark_keys, keys_schema).select(
+        F.col("l_suppkey").alias("filer"), F.col("l_orderkey").alias("entry_nbr"),
+        F.col("l_linenumber").alias("line_nbr"))
+    from pyspark.ml.functions import vector_to_array
+    scored = model.transform(keys.join(feats, ["filer", "entry_nbr", "line_nbr"]))
+    out = scored.select("filer", "entry_nbr", "line_nbr", vector_to_array("probability")[1].alias("score"))
+    return ST._run_to_table(out, "append")
