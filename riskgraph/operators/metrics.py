@@ -42,8 +42,8 @@ def roc_auc(preds: DataFrame, y: str = "label", score: str = "score") -> DataFra
     one class is absent."""
     g = score_counts(preds, y, score)
     c = R.running_sums(g, "score", ["neg"], inclusive=False)
-    return c.agg((F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg")))
-                  / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"),
+    return c.agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg"))),
+                              (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"),
                  F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
