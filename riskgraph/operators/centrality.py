@@ -47,17 +47,27 @@ class Propagator:
             self.hub_edges, self.light_edges = None, e
 
     def push(self, values: DataFrame, cols: list[str], agg: str = "sum",
-             weighted: bool = True) -> DataFrame:
-        """Per destination: agg over incoming edges of (w *) source value."""
+             weighted: bool = True, every_node: DataFrame | None = None) -> DataFrame:
+        """Per destination: agg over incoming edges of (w *) source value.
+        With ``every_node`` (node_id) each listed node also receives a
+        neutral message (0 for sum), so nodes without in-edges get a row from
+        the same aggregation instead of a separate left join."""
         v = values.select(F.col("node_id").alias("src"), *cols)
+        fn = {"sum": F.sum, "min": F.min, "max": F.max}[agg]
         parts = [self.light_edges.join(v, "src")]
         if self.hub_edges is not None:
             hv = v.join(F.broadcast(self.hubs), "src")
             parts.append(self.hub_edges.join(F.broadcast(hv), "src"))
-        msgs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        fn = {"sum": F.sum, "min": F.min, "max": F.max}[agg]
-        return msgs.groupBy(F.col("dst").alias("node_id")).agg(
-            *[fn(F.col(c) * F.col("w") if weighted else F.col(c)).alias(c) for c in cols])
+        msgs = [p.select(F.col("dst"), *[(F.col(c) * F.col("w") if weighted else F.col(c)).alias(c)
+                                         for c in cols]) for p in parts]
+        if every_node is not None:
+            if agg != "sum":
+                raise ValueError("every_node needs agg='sum'")
+            msgs.append(every_node.select(F.col("node_id").alias("dst"), *[F.lit(0.0).alias(c) for c in cols]))
+        allm = msgs[0]
+        for m in msgs[1:]:
+            allm = allm.unionByName(m)
+        return allm.groupBy(F.col("dst").alias("node_id")).agg(*[fn(F.col(c)).alias(c) for c in cols])
 
 
 def out_degree(g: Graph) -> DataFrame:
@@ -75,9 +85,8 @@ def _rank_iteration(g: Graph, denominator_extra: float, damping: float, iteratio
     ranks = nodes.withColumn("r", F.lit(base))
     loop = Loop(every=4)
     for _ in range(iterations):
-        c = prop.push(ranks, ["r"])
-        new = nodes.join(c.withColumnRenamed("r", "_s"), "node_id", "left") \
-            .select("node_id", (F.lit(base) + F.lit(damping) * F.coalesce(F.col("_s"), F.lit(0.0))).alias("r"))
+        c = prop.push(ranks, ["r"], every_node=nodes)
+        new = c.select("node_id", (F.lit(base) + F.lit(damping) * F.col("r")).alias("r"))
         if tol is not None:
             new = cut_lineage(new)
             delta = new.join(ranks.withColumnRenamed("r", "_o"), "node_id") \

@@ -13,6 +13,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -226,3 +227,162 @@ def cold_start_predict(fitted, df: DataFrame, feature_cols: Sequence[str], key:
     for i, m in enumerate(models):
         preds = m.transform(preds).withColumnRenamed("prediction", f"_p{i}")
     return preds.select(key, F.array(*[F.col(f"_p{i}") for i in range(len(models))]).alias(out))
+
+
+# ---------------------------------------------------------------------------
+# M-T11 voting, M-T12 stacking, M-T5 AdaBoost, M-T8 discriminant analysis
+# ---------------------------------------------------------------------------
+def vote(preds: dict[str, DataFrame], key: str = "entity_id", how: str = "soft") -> DataFrame:
+    """M-T11: combine per-model (key, score, prediction) rows.  Soft: mean
+    probability; hard: share of models voting 1 (the score, T12), class =
+    share > 1/2."""
+    names = list(preds)
+    j = None
+    for n in names:
+        p = preds[n].select(key, F.col("score").alias(f"s_{n}"), F.col("prediction").alias(f"p_{n}"))
+        j = p if j is None else j.join(p, key)
+    k = float(len(names))
+    if how == "soft":
+        score = sum((F.col(f"s_{n}") for n in names), F.lit(0.0)) / k
+        return j.select(key, score.alias("score"), (score >= 0.5).cast("int").alias("prediction"))
+    share = sum((F.col(f"p_{n}").cast("double") for n in names), F.lit(0.0)) / k
+    return j.select(key, share.alias("score"), (share > 0.5).cast("int").alias("prediction"))
+
+
+def stack(train: DataFrame, test: DataFrame, bases: dict[str, tuple[str, dict]], k: int = 3,
+          key: str = "entity_id", col: str = "features") -> DataFrame:
+    """M-T12: out-of-fold base probabilities (k class-balanced folds) train a
+    logistic regression; test rows get the bases refitted on all training rows."""
+    nf = train.select(F.size(col)).first()[0]
+    folded = cut_lineage(R.kfold_assign(train, "label", key, k))
+    oof_parts = []
+    for f in range(k):
+        fit_on, held = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+        cols = []
+        for n, (kind, kw) in bases.items():
+            p = fit_score(classifier(kind, nf, **kw), fit_on, held, col).select(key, F.col("score").alias(n))
+            cols.append(p)
+        j = cols[0]
+        for p in cols[1:]:
+            j = j.join(p, key)
+        oof_parts.append(cut_lineage(j))
+    oof = oof_parts[0]
+    for p in oof_parts[1:]:
+        oof = oof.unionByName(p)
+    meta_train = oof.join(train.select(key, "label"), key).select(
+        key, F.array(*[F.col(n) for n in bases]).alias("meta"), "label")
+    test_cols = []
+    for n, (kind, kw) in bases.items():
+        test_cols.append(fit_score(classifier(kind, nf, **kw), train, test, col).select(key, F.col("score").alias(n)))
+    tj = test_cols[0]
+    for p in test_cols[1:]:
+        tj = tj.join(p, key)
+    meta_test = tj.join(test.select(key, "label"), key).select(
+        key, F.array(*[F.col(n) for n in bases]).alias("meta"), "label")
+    return fit_score(classifier("lr"), meta_train, meta_test, "meta").select(key, "label", "score", "prediction")
+
+
+def adaboost(train: DataFrame, test: DataFrame, rounds: int = 50, col: str = "features",
+             key: str = "entity_id") -> DataFrame:
+    """M-T5: discrete AdaBoost (SAMME, two classes) with depth-1 trees.  Row
+    weights live in a column; each round is one weighted Spark ML fit plus
+    one aggregate for the weighted error."""
+    import math
+    n = train.count()
+    cur = cut_lineage(with_vector(train, col).withColumn("w", F.lit(1.0 / n)))
+    te = cut_lineage(with_vector(test, col).withColumn("margin", F.lit(0.0)))
+    for _ in range(rounds):
+        stump = DecisionTreeClassifier(maxDepth=1, featuresCol="vec", labelCol="label", weightCol="w", seed=SEED)
+        m = stump.fit(cur)
+        p = m.transform(cur).withColumn("miss", (F.col("prediction") != F.col("label")).cast("double"))
+        err = p.agg(F.sum(F.col("w") * F.col("miss")) / F.sum("w")).first()[0]
+        if err is None or err >= 0.5:
+            break
+        err = max(err, 1e-10)
+        alpha = math.log((1 - err) / err)
+        cur = cut_lineage(p.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * F.col("miss")))
+                          .select(*[c for c in cur.columns]))
+        tot = cur.agg(F.sum("w")).first()[0]
+        cur = cur.withColumn("w", F.col("w") / F.lit(tot))
+        te = cut_lineage(m.transform(te).withColumn(
+            "margin", F.col("margin") + F.lit(alpha) * (2 * F.col("prediction") - 1))
+            .drop("prediction", "rawPrediction", "probability"))
+        if err <= 1e-10:
+            break
+    return te.select(key, "label", (1.0 / (1.0 + F.exp(-F.col("margin")))).alias("score"),
+                     (F.col("margin") > 0).cast("int").alias("prediction"))
+
+
+def _class_moments(train: DataFrame, col: str = "features"):
+    """Per class: count, sum vector and X^T X from one Arrow pass per
+    partition plus a groupBy over (partitions x classes) partial rows."""
+    import numpy as np
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()),
+                           T.StructField("s", T.ArrayType(T.DoubleType())),
+                           T.StructField("xx", T.ArrayType(T.DoubleType()))])
+
+    def partial(it):
+        import pandas as pd
+        acc: dict = {}
+        for pdf in it:
+            for y, grp in pdf.groupby("label"):
+                x = np.vstack(grp[col].to_numpy()).astype(float)
+                a = acc.setdefault(int(y), [0, 0.0, 0.0])
+                a[0] += len(x)
+                a[1] = a[1] + x.sum(axis=0)
+                a[2] = a[2] + x.T @ x
+        yield pd.DataFrame([(y, a[0], list(np.ravel(a[1])), list(np.ravel(a[2]))) for y, a in acc.items()],
+                           columns=["label", "n", "s", "xx"])
+    parts = train.select(F.col("label").cast("int").alias("label"), col).mapInPandas(partial, schema)
+    from pyspark.ml.functions import array_to_vector as a2v
+    agg = parts.groupBy("label").agg(F.sum("n").alias("n"),
+                                     vector_to_array(Summarizer.sum(a2v("s"))).alias("s"),
+                                     vector_to_array(Summarizer.sum(a2v("xx"))).alias("xx")).collect()
+    out = {}
+    for r in agg:
+        d = len(r["s"])
+        s, xx = np.array(r["s"]), np.array(r["xx"]).reshape(d, d)
+        mu = s / r["n"]
+        cov = xx / r["n"] - np.outer(mu, mu)
+        out[r["label"]] = (r["n"], mu, cov)
+    return out
+
+
+def discriminant(train: DataFrame, test: DataFrame, kind: str = "lda", col: str = "features",
+                 key: str = "entity_id", reg: float = 1e-6) -> DataFrame:
+    """M-T8: linear (pooled covariance) or quadratic (per-class covariance)
+    discriminant analysis.  Moments are d-sized model parameters; scoring is
+    a native array expression, P(class 1) by the logistic of the
+    log-likelihood ratio."""
+    import numpy as np
+    mom = _class_moments(train, col)
+    (n0, mu0, c0), (n1, mu1, c1) = mom[0], mom[1]
+    d = len(mu0)
+    prior = np.log(n1 / n0)
+    x = F.col(col)
+
+    def dot(vec):
+        return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in vec]), lambda a, b: a * b),
+                           F.lit(0.0), lambda s, v: s + v)
+    if kind == "lda":
+        pooled = (n0 * c0 + n1 * c1) / (n0 + n1 - 2) + reg * np.eye(d)  # within-class scatter / (N - 2)
+        w = np.linalg.solve(pooled, mu1 - mu0)
+        b = -0.5 * (mu1 + mu0) @ w + prior
+        logit = dot(w) + F.lit(float(b))
+    else:
+        terms = []
+        for mu, cov in ((mu1, c1), (mu0, c0)):
+            cov = cov + reg * np.eye(d)
+            inv = np.linalg.inv(cov)
+            _, logdet = np.linalg.slogdet(cov)
+            # -(x-mu)' inv (x-mu)/2 = -x'inv x/2 + mu'inv x - mu'inv mu/2
+            quad_rows = [dot(inv[i]) for i in range(d)]
+            xq = F.aggregate(F.zip_with(x, F.array(*quad_rows), lambda a, b: a * b), F.lit(0.0),
+                             lambda s, v: s + v)
+            lin = dot(inv @ mu)
+            const = -0.5 * mu @ inv @ mu - 0.5 * logdet
+            terms.append(-0.5 * xq + lin + F.lit(float(const)))
+        logit = terms[0] - terms[1] + F.lit(float(prior))
+    score = 1.0 / (1.0 + F.exp(-logit))
+    return test.select(key, "label", score.alias("score"), (score >= 0.5).cast("int").alias("prediction"))

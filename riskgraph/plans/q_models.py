@@ -295,3 +295,109 @@ def q_score_new(spark, sf):
     p = model.transform(MD.with_vector(test))
     return p.select(F.col("entity_id"), F.col("prediction").cast("int").alias("pest_prediction"),
                     MD.vector_to_array("probability")[1].alias("pest_probability"))
+
+
+def _rf_lr_gbt(train, test):
+    return {n: MD.fit_score(MD.classifier(k, 64, **kw), train, test).select("entity_id", "score", "prediction")
+            for n, (k, kw) in {"rf": ("rf", {}), "gb": ("gbt", {}), "lr": ("lr", {})}.items()}
+
+
+@query("voting")
+def q_voting(spark, sf):
+    """M-T11: soft (mean probability) and hard (vote share) voting of RF, GBT and LR."""
+    train, test = _scaled_split(spark, sf)
+    preds = _rf_lr_gbt(train, test)
+    soft = MD.vote(preds, how="soft").select("entity_id", F.col("score").alias("soft_score"),
+                                            F.col("prediction").alias("soft_prediction"))
+    hard = MD.vote(preds, how="hard").select("entity_id", F.col("score").alias("hard_share"),
+                                            F.col("prediction").alias("hard_prediction"))
+    return soft.join(hard, "entity_id").join(test.select("entity_id", "label"), "entity_id")
+
+
+@query("stacking")
+def q_stacking(spark, sf):
+    """M-T12: 3-fold out-of-fold RF / GBT / LR probabilities feed a logistic regression."""
+    train, test = _scaled_split(spark, sf)
+    return MD.stack(train, test, {"rf": ("rf", {}), "gb": ("gbt", {}), "lr": ("lr", {})}, k=3)
+
+
+@query("adaboost")
+def q_adaboost(spark, sf):
+    """M-T5: SAMME AdaBoost with 50 depth-1 trees."""
+    train, test = _scaled_split(spark, sf)
+    return MD.adaboost(train, test, rounds=50)
+
+
+@query("linear_discriminant")
+def q_lda(spark, sf):
+    """M-T8: linear discriminant analysis (pooled covariance)."""
+    train, test = _scaled_split(spark, sf)
+    return MD.discriminant(train, test, "lda")
+
+
+@query("quadratic_discriminant")
+def q_qda(spark, sf):
+    """M-T8: quadratic discriminant analysis (per-class covariance)."""
+    train, test = _scaled_split(spark, sf)
+    return MD.discriminant(train, test, "qda")
+
+
+def _sage_inputs(spark, sf):
+    from riskgraph.operators import embed as EM
+    i = FX.inspections(spark, sf)
+    g = G.pest_projection(i, exclude_target_edges=True)
+    feats = EM.node_features(g, C.pagerank(g, 20))
+    agg = EM.sage_aggregate(g, feats, (25, 10), "mean")
+    tgt = R.entity_targets_by_inspection(i).select(
+        F.concat(F.lit("E:"), F.col("entity_id").cast("string")).alias("node_id"), "entity_id",
+        F.col("has_pest").alias("label"), "pest_rate", "total_inspections")
+    return g, feats, cut_lineage(agg.join(tgt, "node_id"))
+
+
+@query("graphsage_classify")
+def q_sage_classify(spark, sf):
+    """H-E7 (aggregate-then-learn): 2-hop sampled mean aggregation of [degree,
+    PageRank] features, then an MLP head (64 hidden units, 50 epochs) on a
+    stratified split; class and both probabilities for every entity."""
+    _, _, d = _sage_inputs(spark, sf)
+    s = R.stratified_split(d, "label", "entity_id", 0.2, 42)
+    m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
+    s = MD.apply_scaler(s, m, sd)
+    nf = s.select(F.size("features")).first()[0]
+    est = MD.classifier("mlp", nf, layers=[64], maxIter=50)
+    p = MD.fit_score(est, s.where(~F.col("is_test")), s)
+    return p.select("entity_id", F.col("prediction").alias("graphsage_predicted_class"),
+                    (1.0 - F.col("score")).alias("graphsage_prob_no_pest"),
+                    F.col("score").alias("graphsage_prob_pest"), F.col("label").alias("actual_pest_class"),
+                    X.risk_band("score", "five").alias("graphsage_risk_category"))
+
+
+@query("graphsage_feature_table")
+def q_sage_features(spark, sf):
+    """M-P5: untrained GraphSAGE-style embedding (64 dims) per entity with
+    has_pest_ever and pest_rate, in the wide graphsage_dim_i layout."""
+    from riskgraph.operators import embed as EM
+    g, feats, d = _sage_inputs(spark, sf)
+    e = EM.graphsage_embeddings(g, feats, 64, (25, 10))
+    t = d.select("node_id", "entity_id", F.col("label").alias("has_pest_ever"), "pest_rate")
+    return X.embedding_to_columns(t.join(e, "node_id"), "embedding", "graphsage_dim_", 64) \
+        .withColumnRenamed("node_id", "nodeId")
+
+
+@query("read_entity_features")
+def q_read_entity_features(spark, sf):
+    """A-S3 + B-P10 + B-P11: feature table with missing targets and features
+    (blanked by the FIXTURES §4 rule), rows without a target dropped,
+    binary target, metadata columns excluded, missing features median-filled."""
+    from riskgraph.sources import tables as TB
+    from riskgraph.operators import embed as EM
+    g, feats, d = _sage_inputs(spark, sf)
+    e = EM.graphsage_embeddings(g, feats, 64, (25, 10))
+    base = d.select("node_id", "entity_id", "label", "pest_rate").join(e, "node_id")
+    wide = X.embedding_to_columns(base, "embedding", "graphsage_dim_", 64)
+    wide = wide.withColumns({
+        "has_pest_ever": F.when(F.col("entity_id") % 23 == 0, F.lit(None)).otherwise(F.col("label")),
+        "graphsage_dim_0": F.when(F.col("entity_id") % 17 == 0, F.lit(None)).otherwise(F.col("graphsage_dim_0")),
+    }).drop("label").withColumnRenamed("node_id", "nodeId")
+    r = TB.read_entity_features(wide, "has_pest_ever")
+    return X.fill_median(r, ["graphsage_dim_0"])
