@@ -57,13 +57,23 @@ def stream_trailing_counts(spark: SparkSession, events_path: str, schema: str, e
                            watermark: str = "30 days") -> DataFrame:
     """K-2: sliding-window exam and pest counts per entity, event time with a
     watermark.  Run with ``availableNow`` in complete mode so the result
-    holds every window of the files read (the batch answer)."""
-    ev = read_stream(spark, events_path, schema)
-    ev = ev.withColumn("_ts", F.col(ts).cast("timestamp")) \
-        .withColumn("_pest", F.col("event_type").isin("error", "purchase").cast("int"))
-    agg = ev.withWatermark("_ts", watermark).groupBy(F.window("_ts", window, slide).alias("w"), F.col(entity)) \
-        .agg(F.count(F.lit(1)).alias("exams"), F.sum("_pest").cast("long").alias("pests"))
-    res = _run_to_table(agg, "complete")
-    return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-                      F.col(entity).alias("entity_id"), "exams", "pests")
+    holds every window of the files read (the batch answer).
+
+    Event times are wall-clock ``timestamp_ntz``; watermarks need
+    ``timestamp``, so the stream runs with the session zone pinned to UTC
+    (restored afterwards) and casts the window bounds back to
+    ``timestamp_ntz`` before the sink."""
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        ev = read_stream(spark, events_path, schema)
+        ev = ev.withColumn("_ts", F.col(ts).cast("timestamp")) \
+            .withColumn("_pest", F.col("event_type").isin("error", "purchase").cast("int"))
+        agg = ev.withWatermark("_ts", watermark).groupBy(F.window("_ts", window, slide).alias("w"), F.col(entity)) \
+            .agg(F.count(F.lit(1)).alias("exams"), F.sum("_pest").cast("long").alias("pests"))
+        out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                         F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                         F.col(entity).alias("entity_id"), "exams", "pests")
+        return _run_to_table(out, "complete")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
