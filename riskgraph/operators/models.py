@@ -150,7 +150,7 @@ def cross_validate(est, df: DataFrame, k: int = 5, metric: str = "areaUnderROC",
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName=metric) \
         if metric in ("areaUnderROC", "areaUnderPR") else \
         MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=metric)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=ev, foldCol="fold", seed=SEED)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=ev, foldCol="fold", numFolds=k, seed=SEED)
     model = cv.fit(with_vector(folded, col))
     spark = df.sparkSession
     return spark.createDataFrame([(metric, float(model.avgMetrics[0]), float(model.stdMetrics[0]), k)],
@@ -168,7 +168,7 @@ def grid_search(kind: str, grid: dict, df: DataFrame, k: int = 5, col: str = "fe
         b = b.addGrid(est.getParam(pname), values)
     maps = b.build()
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="f1")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=k,
                         parallelism=parallelism, seed=SEED)
     model = cv.fit(with_vector(folded, col))
     rows = [(str({p.name: v for p, v in m.items()}), float(a), float(s))
