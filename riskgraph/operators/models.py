@@ -199,7 +199,7 @@ def fit_predict_regression(est, train: DataFrame, test: DataFrame, col: str = "f
 # M-C cold start
 # ---------------------------------------------------------------------------
 def cold_start_fit(train: DataFrame, feature_cols: Sequence[str], emb_col: str = "embedding",
-                   num_trees: int = 100, parallelism: int = 8) -> list[PipelineModel]:
+                   num_trees: int = 100, parallelism: int = 8) -> tuple[list, list[float], list[float]]:
     """M-C1: one random-forest regressor per embedding dimension on the
     (encoded, scaled) features; the d fits share one checkpointed frame and
     run as concurrent Spark jobs."""
@@ -214,7 +214,7 @@ def cold_start_fit(train: DataFrame, feature_cols: Sequence[str], emb_col: str =
         return RandomForestRegressor(numTrees=num_trees, seed=SEED, featuresCol="vec", labelCol="label").fit(d)
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         models = list(ex.map(fit, range(dim)))
-    return [models, mean, std]
+    return models, mean, std
 
 
 def cold_start_predict(fitted, df: DataFrame, feature_cols: Sequence[str], key: str,

@@ -12,7 +12,6 @@ Scale rules followed throughout:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -414,6 +413,3 @@ def weighted_sum(cols: Mapping[str, float]) -> Column:
     """B-P18: sum of weight x column."""
     return reduce(lambda a, b: a + b, [F.col(c) * F.lit(w) for c, w in cols.items()])
 
-
-def ceil_int(x: float) -> int:
-    return int(math.ceil(x))

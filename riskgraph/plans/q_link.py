@@ -26,11 +26,13 @@ pairs AS (
                  AND l.pest_node_id = o.pest_node_id) AS has_existing_relationship
   FROM ents e CROSS JOIN outs o)"""
 
-_SCORED = """cn AS (
+_SCORED = """tadj AS (SELECT node AS z, nbr AS pest_node_id FROM adj
+               WHERE nbr IN (SELECT pest_node_id FROM outs)),
+cn AS (
   SELECT p.entity_node_id, p.pest_node_id, count(*) AS cn,
          sum(CASE WHEN d.deg > 1 THEN 1.0 / ln(d.deg) ELSE 0.0 END) AS aa
   FROM pairs p JOIN adj a1 ON a1.node = p.entity_node_id
-               JOIN adj a2 ON a2.node = a1.nbr AND a2.nbr = p.pest_node_id
+               JOIN tadj t ON t.z = a1.nbr AND t.pest_node_id = p.pest_node_id
                JOIN deg d ON d.node = a1.nbr
   GROUP BY p.entity_node_id, p.pest_node_id),
 scored AS (

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.functions import expr as X
 from riskgraph.operators import relational as R
 from riskgraph.sources.tables import table
 
@@ -103,12 +102,3 @@ def cold_start_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("embedding")[0].cast("double").alias("feature_1"),
                     (F.col("embedding")[1].cast("double") * 100).alias("feature_2"),
                     f3.alias("feature_3"), *fr)
-
-
-def weekly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event rows as timed inspections for the streaming re-aims (K-2):
-    entity = user, outcome = error or purchase, event time = ts."""
-    ev = table(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("inspection_id"), F.col("user_id").alias("enty_id"),
-                     F.col("ts").cast("timestamp").alias("ts"),
-                     F.col("event_type").isin("error", "purchase").cast("int").alias("target_proxy"))
