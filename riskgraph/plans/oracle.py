@@ -1,5 +1,6 @@
 """Oracle SQL as handed to the checker: every double (and double-list)
-column of a query's SQL is rounded to the same 6 places as the Spark side.
+column of a query's SQL is rounded to the same 6 places as the Spark side,
+and DuckDB's 128-bit integer results are cast to BIGINT (Spark's type).
 
 Column types are found with DuckDB ``DESCRIBE`` (binds, does not run) over
 the smallest driver tables; if that is not possible the SQL is returned
@@ -36,6 +37,8 @@ def rounded_sql(sql: str, places: int = 6) -> str:
         q = '"' + name.replace('"', '""') + '"'
         if dtype in ("DOUBLE", "FLOAT", "REAL") or dtype.startswith("DECIMAL"):
             out.append(f"round(CAST({q} AS DOUBLE), {places}) AS {q}")
+        elif dtype in ("HUGEINT", "UHUGEINT"):
+            out.append(f"CAST({q} AS BIGINT) AS {q}")  # DuckDB sums / count_if; Spark gives bigint
         elif dtype in ("DOUBLE[]", "FLOAT[]"):
             out.append(f"list_transform({q}, lambda x: round(CAST(x AS DOUBLE), {places})) AS {q}")
         else:

@@ -213,7 +213,7 @@ def q_node2vec(spark, sf):
 
 
 @query("sample_neighbors", sql=S.with_(*_P) + """
-SELECT node, nbr, sample_rank FROM (
+SELECT node, nbr, CAST(sample_rank AS INTEGER) AS sample_rank FROM (
   SELECT src AS node, dst AS nbr,
          row_number() OVER (PARTITION BY src ORDER BY md5('42:1:' || src || ':' || dst)) AS sample_rank
   FROM (SELECT DISTINCT src, dst FROM proj_edges)) WHERE sample_rank <= 25""")

@@ -64,9 +64,9 @@ per AS (
   FROM scored CROSS JOIN (VALUES (0), (1)) t(k) GROUP BY k),
 per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM per)
 SELECT class, precision, recall, f1_score, support FROM per2
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM per2
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM per2
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                 sum(f1_score * support) / sum(support), sum(support) FROM per2""")
+                 sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per2""")
 def q_class_report(spark, sf):
     """M-V6: per class precision / recall / F1 / support, macro and weighted averages."""
     return M.classification_report(FX.score_table(spark, sf), "label", "predicted")
