@@ -4,7 +4,7 @@ K-1: arriving line keys are joined to the static feature table and scored
 with a saved model (stream-static join, ``availableNow`` trigger).
 K-2: per-entity sliding 30-day exam / pest counts over event time with a
 watermark; the result equals the batch aggregation over the same files.
-Checkpoints of the streams go to the session's checkpoint folder.
+Stream state and output tables go to the session's checkpoint folder.
 """
 
 from __future__ import annotations
@@ -19,15 +19,25 @@ from riskgraph.session import ensure_checkpoint_dir
 
 
 def _run_to_table(df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream to the end of its input (``availableNow``) into Parquet
+    under the checkpoint folder and return the written table.  Each
+    micro-batch is written by the executors (``foreachBatch``): appended
+    rows for ``append``, the full result replacing the last for
+    ``complete``.  Nothing is collected in the driver."""
     spark = df.sparkSession
     name = f"rg_stream_{uuid.uuid4().hex[:10]}"
-    ck = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"
+    out = f"{base}/table"
+    write_mode = "overwrite" if mode == "complete" else "append"
+
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode(write_mode).parquet(out)
+    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
