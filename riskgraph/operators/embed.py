@@ -114,10 +114,14 @@ def random_walks(g: Graph, length: int = 10, per_node: int = 10, seed: int = SEE
 
 
 def node2vec(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = SEED,
-             partitions: int = 1) -> DataFrame:
+             partitions: int | None = None) -> DataFrame:
     """H-E3: skip-gram (Spark ML ``Word2Vec``) over the walks.  Each walk is
-    at most ``length`` nodes, so ``collect_list`` per walk is bounded."""
+    at most ``length`` nodes, so ``collect_list`` per walk is bounded.
+    Training runs on ``partitions`` tasks (default: the session's
+    parallelism), never on one; Spark ML merges the per-partition updates.
+    Spark's Word2Vec keeps the vocabulary (one entry per node) on the driver."""
     from pyspark.ml.feature import Word2Vec
+    partitions = partitions or walks.sparkSession.sparkContext.defaultParallelism
     seqs = walks.groupBy("walk_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("step", "node_id"))), lambda s: s["node_id"]).alias("walk"))
     w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, inputCol="walk",
