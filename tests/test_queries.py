@@ -11,7 +11,8 @@ ORACLE_SUBSET = ["trailing_counts", "graph_nodes", "graph_edges", "edge_counts",
                  "link_heuristic_scores", "candidate_pairs", "entity_similarity", "risk_distribution",
                  "stratified_split", "roc_auc", "pr_curve", "classification_report", "confusion_matrix",
                  "triangle_count", "k_core", "connected_components", "modularity", "mean_embedding",
-                 "standard_scale", "link_train_set", "best_row_per_entity", "missing_counts"]
+                 "standard_scale", "link_train_set", "best_row_per_entity", "missing_counts",
+                 "stream_trailing_counts", "link_precision_recall", "sample_neighbors", "pagerank"]
 
 
 @pytest.fixture(scope="module")
