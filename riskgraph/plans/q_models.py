@@ -401,3 +401,25 @@ def q_read_entity_features(spark, sf):
     }).drop("label").withColumnRenamed("node_id", "nodeId")
     r = TB.read_entity_features(wide, "has_pest_ever")
     return X.fill_median(r, ["graphsage_dim_0"])
+
+
+@query("graphsage_scoring")
+def q_sage_scoring(spark, sf):
+    """M-P4: targets -> aggregated features -> classifier (H-E7) and
+    embeddings (H-E6 forward pass) merged per entity with actuals,
+    inspection count, wide embedding columns and the five-band risk."""
+    from riskgraph.operators import embed as EM
+    g, feats, d = _sage_inputs(spark, sf)
+    s = R.stratified_split(d, "label", "entity_id", 0.2, 42)
+    m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
+    s = MD.apply_scaler(s, m, sd)
+    nf = s.select(F.size("features")).first()[0]
+    p = MD.fit_score(MD.classifier("mlp", nf, layers=[64], maxIter=50), s.where(~F.col("is_test")), s)
+    e = EM.graphsage_embeddings(g, feats, 64, (25, 10))
+    out = p.select("node_id", "entity_id", F.col("prediction").alias("graphsage_predicted_class"),
+                   (1.0 - F.col("score")).alias("graphsage_prob_no_pest"), F.col("score").alias("graphsage_prob_pest"),
+                   F.col("label").alias("actual_pest_class"), F.col("pest_rate").alias("actual_pest_rate"),
+                   F.col("total_inspections").alias("inspection_count"),
+                   X.risk_band("score", "five").alias("graphsage_risk_category"))
+    out = R.attach_actuals(out, e, "node_id")
+    return X.embedding_to_columns(out, "embedding", "graphsage_emb_", 64).drop("node_id")
