@@ -88,7 +88,11 @@ def candidate_pairs(g: G.Graph) -> DataFrame:
 
 
 def link_pair_scores(g: G.Graph) -> DataFrame:
-    """All four heuristics for every candidate pair (T2: every pair scored)."""
+    """All four heuristics for every candidate pair (T2: every pair scored).
+    The edge table is materialised once (reliable checkpoint): adjacency,
+    degrees and outcome links all read it instead of rebuilding the graph
+    from the source tables for each use."""
+    g = G.Graph(g.nodes, cut_lineage(g.edges), g.undirected)
     adj = G.adjacency(g)
     pairs = candidate_pairs(g)
     return pair_scores(adj, pairs, a="entity_node_id", b="pest_node_id")
@@ -141,7 +145,7 @@ def entity_pest_affinity(g: G.Graph, pest_entities: DataFrame, entity_label: str
     sent back along e's own edges.  No entity pair is ever formed, so a hub
     shared by a third of all entities costs one row per edge, not the square
     of its degree."""
-    adj = G.adjacency(g)
+    adj = cut_lineage(G.adjacency(g))  # read three times below; built once
     ents = g.nodes.where(F.col("label") == entity_label).select(F.col("node_id").alias("node"))
     pset = pest_entities.select(F.col("node_id").alias("nbr")).distinct().withColumn("_p", F.lit(1))
     deg = node_degrees(adj)

@@ -245,6 +245,7 @@ FROM sr"""
 
 def link_samples(spark, sf):
     g = G.stored_graph(FX.inspections(spark, sf, with_counters=False))
+    g = G.Graph(g.nodes, cut_lineage(g.edges), g.undirected)  # many readers; built once
     return g, L.link_train_set(g)
 
 
