@@ -23,7 +23,7 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = 8  # lower, upper, digit, white space, sentence punctuation, symbol, control, outside ASCII
 MIN_WORDS, MAX_REPEAT = 50, 50
 COMMON_SHARE = 0.002     # a common word makes up at least this share of a language: at most 500 a language
-CHAR_LIMIT, WORD_LIMIT = 0.25, 0.45
+CHAR_LIMIT, WORD_LIMIT = 0.22, 0.40
 CHAR_GUARD, WORD_GUARD = 200, 80   # characters and words below which the histogram isn't judged
 
 
