@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import licenses, mixing, quality, urls
+from riskgraph.llm import licenses, mixing, quality, substring, urls
 from riskgraph.llm.common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from all documents because a 50-word window repeats a smaller document's."""
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict for all documents."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
@@ -31,6 +36,6 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_quality_rules, op6_url_filter, op8_mix_sources, op9_license_scan)}
+    f.__name__: f for f in (op2_substring_dedup, op5_quality_rules, op6_url_filter, op8_mix_sources, op9_license_scan)}
 
 ORACLES: dict[str, str] = {}
