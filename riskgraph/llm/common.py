@@ -48,6 +48,28 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], dict[str, list]], sche
     return df.mapInArrow(run, schema)
 
 
+def stream_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of ``df`` dealt out by ``keys`` and sorted by ``keys`` and ``order`` in each task; ``fn`` gets
+    the task's rows as one stream of tuples (strings and binaries as bytes) and yields result tuples.  Many small
+    groups share a task without a call for each, and nothing but what ``fn`` keeps is held."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows(batches):
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for r in fn(rows(batches)):
+            held.append(r)
+            if len(held) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), fields)], schema=fields)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), fields)], schema=fields)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- word hashes
 MULT = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 MULT_INV = pow(MULT, -1, 1 << 64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import licenses, mixing, quality, substring, urls
+from riskgraph.llm import jaccard, licenses, mixing, quality, substring, urls
 from riskgraph.llm.common import table
 
 
@@ -35,7 +35,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard of 3-word shingles at 0.9 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op5_quality_rules, op6_url_filter, op8_mix_sources, op9_license_scan)}
+    f.__name__: f for f in (op2_substring_dedup, op5_quality_rules, op6_url_filter, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
