@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import jaccard, licenses, mixing, quality, substring, urls
+from riskgraph.llm import decontam, jaccard, licenses, mixing, quality, substring, urls
 from riskgraph.llm.common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the place of the best window."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from all documents because a 50-word window repeats a smaller document's."""
     return substring.dedup_substrings(table(spark, sf_dir, "documents"))
@@ -41,6 +46,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op5_quality_rules, op6_url_filter, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op5_quality_rules, op6_url_filter, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
