@@ -3,6 +3,7 @@ document keys, window hashes and connected components."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from riskgraph.session import cut_lineage
+from riskgraph.session import cut_lineage, ensure_checkpoint_dir
 
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -70,6 +71,15 @@ def stream_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a Parquet table in the shared checkpoint folder; unlike a checkpoint it
+    tells Catalyst its size, and columns can be read by themselves."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # ---------------------------------------------------------------- word hashes
 MULT = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 MULT_INV = pow(MULT, -1, 1 << 64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import decontam, jaccard, licenses, mixing, quality, substring, urls
+from riskgraph.llm import decontam, jaccard, licenses, lines, mixing, quality, substring, urls
 from riskgraph.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document loses to an equal or similar line elsewhere."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document for the target weights of the sources."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("th")
@@ -46,6 +51,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op5_quality_rules, op6_url_filter, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op5_quality_rules, op6_url_filter, op7_line_dedup, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
