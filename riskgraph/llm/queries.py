@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import decontam, jaccard, licenses, lines, mixing, quality, substring, urls
+from riskgraph.llm import decontam, jaccard, langid, licenses, lines, mixing, quality, substring, urls
 from riskgraph.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by cross-parsing."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict for all documents."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
@@ -51,6 +56,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op5_quality_rules, op6_url_filter, op7_line_dedup, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_language_id, op5_quality_rules, op6_url_filter, op7_line_dedup, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
