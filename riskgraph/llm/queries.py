@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import decontam, jaccard, langid, licenses, lines, mixing, quality, substring, urls
+from riskgraph.llm import decontam, jaccard, langid, licenses, lines, mixing, quality, substring, toxicity, urls
 from riskgraph.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by weak supervision."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict for all documents."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
@@ -56,6 +61,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_language_id, op5_quality_rules, op6_url_filter, op7_line_dedup, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_language_id, op4_toxicity, op5_quality_rules, op6_url_filter, op7_line_dedup, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
