@@ -9,11 +9,11 @@ into each region.  The first level therefore cuts the shingle space into parts:
 linked sets differ in at most ``T`` shingles, so of ``T + 1 + S`` parts at least
 ``S + 1`` are equal in both (``S`` parts are spare, so that parts of fewer than
 two shingles, which say little, can be passed over unless a set has more than
-``S`` of them).  Sets that share an equal part meet; the smallest of them is the
+``S`` of them).  Sets that share an equal part meet; the one of least hash is the
 pivot, and the region of a pivot is all that meet it in some part - boundary
 sets lie in several regions.
 
-Inside a region its pivots (the smallest id and up to ``PIVOTS`` more) do the
+Inside a region its pivots (the least hash and up to ``PIVOTS`` more) do the
 work: each set's distance to each pivot is taken, sets within the link distance
 are linked to the pivot (and so to each other), and of the others a set meets
 only those that the triangle inequality allows: for each pivot the two distances
@@ -34,7 +34,7 @@ from riskgraph.session import cut_lineage
 
 BLOCK = 512          # sets of one side of a comparison task
 PIVOTS = 8           # pivots of a region whose distances serve as windows
-GROWTH = 1.3         # size classes of the parts
+GROWTH = 1.5         # size classes of the parts
 
 
 def shingle_set(words: list[bytes], hasher: WordHasher, width: int) -> np.ndarray:
@@ -134,51 +134,64 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     Null or blank texts have an empty set, link with nothing and form their own
     component.  A row with a null id neither links nor has a component (null).
-    Rows that repeat an id are one document if alike, and else linked through
-    their id.  Other columns are ignored."""
+    Rows that repeat an id are linked through it.  Other columns are ignored."""
     hasher, parts = WordHasher(0), Parts(num, den)
 
     def scan(cols):
-        out = {"doc_id": cols[0], "n_shingles": [], "same": [], "sigs": []}
+        out = {"doc_id": cols[0], "n_shingles": [], "same": [], "sid": [], "sigs": []}
         for text in cols[1]:
             s = shingle_set((text or b"").lower().split(), hasher, width)
+            same = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             out["n_shingles"].append(len(s))
-            out["same"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            out["same"].append(same)
+            out["sid"].append(int.from_bytes(same[:8], "little", signed=True))
             out["sigs"].append(parts.signatures(s))
         return out
 
-    scanned = cut_lineage(map_batches(docs.select("doc_id", "text"), scan, "doc_id long, n_shingles long, same binary, sigs array<long>"))
+    scanned = cut_lineage(map_batches(docs.select("doc_id", "text"), scan, "doc_id long, n_shingles long, same binary, sid long, sigs array<long>"))
     full = scanned.where("doc_id is not null and n_shingles > 0")
-    reps = cut_lineage(full.groupBy("same").agg(F.min("doc_id").alias("rep")))
-    sig = full.join(reps, "same").where("doc_id = rep").select("doc_id", F.explode("sigs").alias("sig"))
-    met = sig.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("hi")).where("pivot < hi").select("sig", "pivot")
-    members = cut_lineage(sig.join(met, "sig").select("pivot", "doc_id").distinct())     # includes the pivot itself
-    links = region_links(docs, members, width, num, den)
-    pairs = (links.unionByName(full.join(reps, "same").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    named = full.select("doc_id", "same", "sid")
+    reps = cut_lineage(named.groupBy("same", "sid").agg(F.min("doc_id").alias("rep")))
+    # sets meet by their own hash, so copies need no join that would carry the signatures
+    sig = full.select("sid", F.explode("sigs").alias("sig"))
+    met = sig.groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("sig", "lo")
+    members = sig.join(met, "sig").select("lo", "sid").distinct()     # includes the region's own set
+    members = cut_lineage(members.select(F.col("lo").alias("pivot"), F.col("sid").alias("node")))
+    of = cut_lineage(reps.groupBy("sid").agg(F.min("rep").alias("rep")))
+
+    def sets(cols):
+        out = {"node": [], "set": []}
+        for sid, text in zip(*cols):
+            s = shingle_set((text or b"").lower().split(), hasher, width).tobytes()
+            if int.from_bytes(hashlib.blake2b(s, digest_size=16).digest()[:8], "little", signed=True) == sid:    # else another text of the same id
+                out["node"].append(sid)
+                out["set"].append(s)
+        return out
+
+    wanted = members.select("node").distinct().join(of.withColumnRenamed("sid", "node"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("sid"))
+    # equal rows once; the join has dealt the rows out by id already
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id", "sid", "text"])
+    held = cut_lineage(map_batches(texts.select("sid", "text"), sets, "node long, set binary"))
+    links = region_links(held, members, num, den)
+    links = (links.join(of.select(F.col("sid").alias("a"), F.col("rep").alias("x")), "a")
+             .join(of.select(F.col("sid").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    pairs = links.unionByName(named.join(reps, ["same", "sid"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = components(pairs)
     out = scanned.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def region_links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links ``(a, b)`` inside the regions ``members(pivot, doc_id)``, enough to connect all that are connected."""
-    hasher = WordHasher(0)
-
-    def sets(cols):
-        return {"doc_id": cols[0], "set": [shingle_set((t or b"").lower().split(), hasher, width).tobytes() for t in cols[1]]}
-
-    wanted = members.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    held = cut_lineage(map_batches(texts, sets, "doc_id long, set binary").dropDuplicates(["doc_id"]))
-
-    # pivots of a region: its smallest id, and the smallest in each of PIVOTS slots of a hash
-    slot = members.groupBy("pivot", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("slot")).agg(F.min("doc_id").alias("p"))
+def region_links(held: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` inside the regions ``members(pivot, node)`` of the sets ``held(node, set)``,
+    enough to connect all that are connected."""
+    # pivots of a region: its least node, and the smallest in each of PIVOTS slots of a hash
+    slot = members.groupBy("pivot", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("p"))
     pivots = slot.select("pivot", "p").union(members.select("pivot", "pivot").distinct()).distinct()
     size = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    ahead = (pivots.join(size, "pivot").join(held.withColumnRenamed("doc_id", "p"), "p")
-             .select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("side"), F.col("p").alias("doc_id"), "set"))
-    rest = (members.join(size, "pivot").join(held, "doc_id")
-            .select("pivot", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "doc_id", "set"))
+    ahead = (pivots.join(size, "pivot").join(held.withColumnRenamed("node", "p"), "p")
+             .select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("side"), F.col("p").alias("node"), "set"))
+    rest = (members.join(size, "pivot").join(held, "node")
+            .select("pivot", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "node", "set"))
 
     def distances(rows):
         key, held_pivots = None, []
@@ -199,9 +212,9 @@ def region_links(docs: DataFrame, members: DataFrame, width: int, num: int, den:
             near = [p for i, (p, _) in enumerate(held_pivots) if mask >> i & 1 and p != d]
             yield pivot, d, own, mask, near, dist
 
-    placed = cut_lineage(stream_groups(ahead.unionByName(rest), ["pivot", "block"], ["side", "doc_id"], distances,
-                                       "pivot long, doc_id long, is_pivot boolean, mask int, near array<long>, dist array<double>"))
-    first = placed.select(F.explode("near").alias("a"), F.col("doc_id").alias("b"))
+    placed = cut_lineage(stream_groups(ahead.unionByName(rest), ["pivot", "block"], ["side", "node"], distances,
+                                       "pivot long, node long, is_pivot boolean, mask int, near array<long>, dist array<double>"))
+    first = placed.select(F.explode("near").alias("a"), F.col("node").alias("b"))
 
     # Pivots that share a near set are connected.  The largest such group of a region (by its sets) is settled:
     # all its sets are connected already, so only a pair with a set outside the group can bring a new link.
@@ -227,12 +240,12 @@ def region_links(docs: DataFrame, members: DataFrame, width: int, num: int, den:
     left = placed.where("not is_pivot").join(hub, "pivot", "left").withColumn("open", F.coalesce(F.col("mask").bitwiseAND(F.col("hub")) == 0, F.lit(True)))
     open_size = (left.groupBy("pivot").agg(F.count("*").alias("n"), F.count(F.when(F.col("open"), 1)).alias("u")).where("u > 0 and n > 1")
                  .select("pivot", F.ceil(F.col("u") / BLOCK).cast("int").alias("lb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rb")))
-    todo = left.select("pivot", "doc_id", "open", "dist").join(open_size, "pivot").join(held, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)))
+    todo = left.select("pivot", "node", "open", "dist").join(open_size, "pivot").join(held, "node").withColumn("h", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)))
     opened = (todo.where("open").withColumn("l", (F.col("h") % F.col("lb")).cast("int"))
               .withColumn("r", F.explode(F.expr("sequence(0, rb - 1)"))).withColumn("side", F.lit(0)))
     all_ = (todo.withColumn("r", (F.col("h") % F.col("rb")).cast("int"))
             .withColumn("l", F.explode(F.expr("sequence(0, lb - 1)"))).withColumn("side", F.lit(1)))
-    cols = ["pivot", "l", "r", "side", "doc_id", "set", "dist"]
+    cols = ["pivot", "l", "r", "side", "node", "set", "dist"]
 
     def blocks(rows):
         key, waiting, block = None, [], None
@@ -248,5 +261,5 @@ def region_links(docs: DataFrame, members: DataFrame, width: int, num: int, den:
                 for other in compare(d, np.frombuffer(raw, np.uint64), np.array(dist), block, num, den):
                     yield int(other), d
 
-    second = stream_groups(opened.select(*cols).unionByName(all_.select(*cols)), ["pivot", "l", "r"], ["side", "doc_id"], blocks, "a long, b long")
+    second = stream_groups(opened.select(*cols).unionByName(all_.select(*cols)), ["pivot", "l", "r"], ["side", "node"], blocks, "a long, b long")
     return cut_lineage(first.unionByName(second))
