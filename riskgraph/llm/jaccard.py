@@ -13,6 +13,9 @@ two shingles, which say little, can be passed over unless a set has more than
 pivot, and the region of a pivot is all that meet it in some part - boundary
 sets lie in several regions.
 
+Below a similarity of ``PARTS_FROM`` parts would hold two or three shingles only;
+there sets meet that share a shingle of their prefixes (class ``Prefixes``).
+
 Inside a region its pivots (the least hash and up to ``PIVOTS`` more) do the
 work: each set's distance to each pivot is taken, sets within the link distance
 are linked to the pivot (and so to each other), and of the others a set meets
@@ -34,6 +37,8 @@ from riskgraph.session import cut_lineage
 
 BLOCK = 512          # sets of one side of a comparison task
 PIVOTS = 8           # pivots of a region whose distances serve as windows
+FREQUENT = 1000      # a frequent shingle is in at least one document of so many
+PARTS_FROM = 0.85    # from this similarity on parts hold enough shingles to tell sets apart
 GROWTH = 1.5         # size classes of the parts
 
 
@@ -92,6 +97,48 @@ class Parts:
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
+class Prefixes:
+    """The prefix filter as signatures, for links below a similarity where parts are too thin: two linked sets share one of
+    their first ``n - ceil(num / den * n) + 1`` shingles in any order common to both.  Frequent shingles come last (by
+    their counts), so that a passage of many documents brings only those together that hold little else."""
+
+    def __init__(self, num: int, den: int, keys: np.ndarray, counts: np.ndarray):
+        self.num, self.den, self.keys, self.counts = num, den, keys, counts
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        n = len(s)
+        if not n:
+            return np.zeros(0, np.int64)
+        rank = np.zeros(n, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+            rank = np.where(self.keys[at] == s, self.counts[at], 0)
+        first = np.lexsort((s, rank))[:n - -(-self.num * n // self.den) + 1]
+        return s[first].view(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in more than about one document of ``FREQUENT``, with their counts, over all documents.
+
+    Lossy counting: a batch reports the shingles that reach that share in it, and the sums that reach half the share
+    are kept, so what reaches the driver is bounded by 2 x FREQUENT times the mean size of a set.  Only the order of
+    shingles depends on it, no result does."""
+    hasher = WordHasher(0)
+
+    def count(cols):
+        sets = [shingle_set((t or b"").lower().split(), hasher, width) for t in cols[0]]
+        keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        often = n >= max(2, -(-len(sets) // FREQUENT))
+        return {"s": keys[often].view(np.int64), "n": n[often]}
+
+    total = docs.count()
+    got = map_batches(docs.select("text"), count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    got = got.where(F.col("n") >= max(2, total // (2 * FREQUENT))).toPandas()
+    keys = got["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got["n"].to_numpy(np.int64)[order]
+
+
 def overlaps(s: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Size of the intersection of the sorted set ``s`` with each of the sets in ``flat``."""
     at = np.searchsorted(s, flat)
@@ -135,7 +182,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     Null or blank texts have an empty set, link with nothing and form their own
     component.  A row with a null id neither links nor has a component (null).
     Rows that repeat an id are linked through it.  Other columns are ignored."""
-    hasher, parts = WordHasher(0), Parts(num, den)
+    hasher = WordHasher(0)
+    parts = Parts(num, den) if num >= PARTS_FROM * den else Prefixes(num, den, *frequent_shingles(docs, width))
 
     def scan(cols):
         out = {"doc_id": cols[0], "n_shingles": [], "same": [], "sid": [], "sigs": []}
