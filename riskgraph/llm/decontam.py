@@ -46,6 +46,11 @@ def with_shingles(df: DataFrame, words: str, out: str, width: int) -> DataFrame:
                          .otherwise(F.array().cast("array<bigint>"))).drop("_h")
 
 
+def runs_of(words: str, n: int) -> Column:
+    """Hash of every ``n`` words in a row, as ``with_shingles`` gives it for a list of just them."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, n))))
+
+
 def packed_counts(grams: Column, seed: int) -> Column:
     """Counts of the 64 bits over all shingle hashes; bits 16 apart share a long, in fields of 16 bits
     (items and windows have fewer than 2^16 words)."""
@@ -88,13 +93,14 @@ def numbered(column: str) -> Column:
         F.transform(again, lambda x: F.when(x["k"] == 0, x["g"]).otherwise(F.xxhash64(x["g"], x["k"]))))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``doc_id, item_id, start, n_words, similarity``: for each document and item the best window
     (ties: the first), if its similarity is ``least`` or more.
 
     Null and blank texts and items have no words and match nothing; an item of
     fewer than ``width`` words is one shingle.  Rows that repeat a doc_id count as one
-    document with several texts; a null doc_id is an id like any other.  Other columns are ignored."""
+    document with several texts (``by=("doc_id", "th")``: each text by its hash is one); a null
+    doc_id is an id like any other.  Other columns are ignored."""
     items = benchmark.select("item_id", lower_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = with_shingles(items, "w", "g0", width).select("item_id", F.size("w").alias("n"), "g0")
     items = items.select("item_id", "n", numbered("g0").alias("g")).distinct()
@@ -109,8 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least:
     hits = None
     for n in [width, *short]:
         rows = base.where(F.size("w") >= n)
-        rows = with_shingles(rows, "w", "g", width) if n == width else rows.withColumn("g", F.transform(
-            F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.xxhash64(F.concat_ws(" ", F.slice("w", i, n)))))
+        rows = with_shingles(rows, "w", "g", width) if n == width else rows.withColumn("g", runs_of("w", n))
         # the outer form: from a plain explode Catalyst infers a filter on the array, which repeats its expressions
         rows = rows.select("doc_id", "th", F.posexplode_outer("g").alias("pos", "s")).where("s is not null")
         size = F.col("n") >= width if n == width else F.col("n") == n
@@ -137,11 +142,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least:
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     held = (texts.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-            .select("doc_id", lower_words(F.col("text")).alias("w"), F.explode("spots").alias("spot")))
-    windows = (held.select("doc_id", "w", "spot.n", "spot.k", F.explode("spot.starts").alias("start"))
+            .select("doc_id", "th", lower_words(F.col("text")).alias("w"), F.explode("spots").alias("spot")))
+    windows = (held.select("doc_id", "th", "w", "spot.n", "spot.k", F.explode("spot.starts").alias("start"))
                .where(F.col("start") + F.col("n") <= F.size("w"))
-               .select("doc_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("v")))
-    windows = with_shingles(windows, "v", "g0", width).select("doc_id", "n", "start", numbered("g0").alias("g"))
+               .select("doc_id", "th", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("v")))
+    windows = with_shingles(windows, "v", "g0", width).select("doc_id", "th", "n", "start", numbered("g0").alias("g"))
     windows = cut_lineage(windows.withColumn("gh", F.xxhash64("n", "g")))
 
     # fingerprints of different windows only: a passage that many documents share is looked up once
@@ -156,14 +161,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least:
     verified = near.select(F.col("n").alias("n2"), F.col("gh").alias("gh2"), "item_id",
                            (shared / (F.size("g") + F.size("ig") - shared)).alias("similarity")).where(F.col("similarity") >= least)
     found = windows.join(verified, (F.col("n") == F.col("n2")) & (F.col("gh") == F.col("gh2")))
-    best = found.groupBy("doc_id", "item_id").agg(
+    best = found.groupBy(*by, "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n").alias("n"))).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"),
+    return best.select(*by, "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"),
                        F.round("b.similarity", 6).alias("similarity"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all their columns) that hold no benchmark item."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    return row.join(leaks, F.col("_id").eqNullSafe(F.col("_leak")), "left_anti").select("_row.*")
+    leaks = find_leaks(docs, benchmark, by=("doc_id", "th")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    return row.join(leaks, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_anti").select("_row.*")
