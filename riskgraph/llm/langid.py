@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from riskgraph.llm.common import held_out, map_batches
 from riskgraph.session import cut_lineage
 
-TRAIN_BYTES, TRAIN_ROWS = 40_000, 1_000
+TRAIN_BYTES, TRAIN_ROWS = 40_000, 200
 LANE, PART = 512, 8_000_000
 SHARPNESS = 24
 LETTER = re.compile(r"[^\W\d_]")
@@ -135,7 +135,10 @@ def training_text(docs: DataFrame) -> dict[str, bytes]:
     """Per language the sample's text, at most ``TRAIN_BYTES`` (plus separators)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("n")).where(f"n <= {TRAIN_BYTES}")
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= TRAIN_ROWS)   # limited in each partition first
+    # the least in 64 slices of a language first, so that no window holds a whole language
+    own = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    first = rows.withColumn("r", F.row_number().over(own)).where(F.col("r") <= TRAIN_ROWS)
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= TRAIN_ROWS)
     picked, room = {}, {}
     for r in cut_lineage(first).select("lang", "h", "n", "r").orderBy("lang", "r").collect():     # TRAIN_ROWS rows a language
         if room.setdefault(r["lang"], TRAIN_BYTES) >= r["n"]:
