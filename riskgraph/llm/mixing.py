@@ -7,7 +7,8 @@ of are given first; the rest of the target is a sample in Pareto order: rank by
 the odds of a random number over the odds of the inclusion probability, taken
 from the front as long as the words fit.  Because documents are whole, the
 front leaves a remainder smaller than the next document; further passes fill
-it from the documents behind that still fit."""
+it from the documents behind that still fit, and a last document may go over the
+target if that brings the source nearer to it."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ from riskgraph.session import cut_lineage
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0     # of all words; of a source's words
 SLICES = 4096              # slices of a source's Pareto order, so that no window holds a whole source
-PASSES = 4
+PASSES = 6
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -86,9 +87,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         here = here.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl"))).drop("s", "sl")
         rows = cut_lineage(here.withColumn("upto", upto).withColumn("more", F.col("more") | (F.col("fits") > 0) & (F.col("upto") <= F.col("left")))
                            .drop("upto", "before", "fits"))
-        if k + 1 < passes:
-            left = (rows.groupBy(F.col("source").alias("s"))
-                    .agg((F.first("target") - F.first("copies") * F.first("source_size") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("left")))
+        left = (rows.groupBy(F.col("source").alias("s"))
+                .agg((F.first("target") - F.first("copies") * F.first("source_size") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("left")))
+    # last, the one document (a row a source) that brings the source nearer to its target, if any does
+    here = rows.drop("left").join(left, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    free = here.where(~F.col("more") & (F.col("pi") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left")))
+    one = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("e"), "u", "doc_id", "size", "th")).alias("o"))
+    one = one.select(F.col("source").alias("s"), F.struct("o.u", "o.doc_id", "o.size", "o.th").alias("o"))
+    last = F.coalesce(F.struct("u", "doc_id", "size", "th").eqNullSafe(F.col("o")), F.lit(False)) & ~F.col("more") & (F.col("pi") > 0)
+    rows = rows.join(one, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("more", F.col("more") | last)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("more").cast("long"))).alias("taken"), "th")
 
 

@@ -93,8 +93,11 @@ def label_model(votes: np.ndarray, prior: float, turns: int = 50) -> np.ndarray:
     n, j = votes.shape
     onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     base = np.log(prior / (1 - prior))
-    q = 1 / (1 + np.exp(-(base + 2.0 * (votes == 1).sum(axis=1) + (votes == -1).sum(axis=1) * -0.5)))
-    weight = np.ones(j)
+    # to begin with, voters that are all but copies of each other share one voice
+    raw = votes - votes.mean(axis=0)
+    norm = np.sqrt(np.maximum((raw * raw).sum(axis=0), 1e-9))
+    weight = 1 / np.maximum(1, (np.abs(raw.T @ raw / norm / norm[:, None]) > 0.95).sum(axis=0))
+    q = 1 / (1 + np.exp(-np.clip(base + 2.0 * (votes == 1) @ weight - 0.5 * (votes == -1) @ weight, -30, 30)))
     for _ in range(turns):
         p1 = (np.einsum("i,ijv->jv", q, onehot) + 0.1) / (q.sum() + 0.3)
         p0 = (np.einsum("i,ijv->jv", 1 - q, onehot) + 0.1) / ((1 - q).sum() + 0.3)
