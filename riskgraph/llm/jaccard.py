@@ -200,11 +200,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     full = scanned.where("doc_id is not null and n_shingles > 0")
     named = full.select("doc_id", "same", "sid")
     reps = cut_lineage(named.groupBy("same", "sid").agg(F.min("doc_id").alias("rep")))
-    # sets meet by their own hash, so copies need no join that would carry the signatures
-    sig = full.select("sid", F.explode("sigs").alias("sig"))
-    met = sig.groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("sig", "lo")
-    members = sig.join(met, "sig").select("lo", "sid").distinct()     # includes the region's own set
-    members = cut_lineage(members.select(F.col("lo").alias("pivot"), F.col("sid").alias("node")))
+    # rows meet by id (ids close to each other take little room); copies are folded into their set behind that
+    sig = full.select("doc_id", F.explode("sigs").alias("sig"))
+    met = sig.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig", "lo")
+    pairs = sig.join(met, "sig").select("lo", "doc_id").distinct()     # includes the region's own document
+    names = named.select("doc_id", "sid").distinct()
+    members = (pairs.join(names, "doc_id").select("lo", F.col("sid").alias("node"))
+               .join(names.select(F.col("doc_id").alias("lo"), F.col("sid").alias("pivot")), "lo").select("pivot", "node").distinct())
+    members = cut_lineage(members)
+    more = members.where("pivot <> node").select("pivot").distinct()
+    members = cut_lineage(members.join(more, "pivot"))                 # without regions of copies alone
     of = cut_lineage(reps.groupBy("sid").agg(F.min("rep").alias("rep")))
 
     def sets(cols):
