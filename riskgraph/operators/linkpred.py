@@ -18,7 +18,7 @@ from riskgraph.operators import graph as G
 from riskgraph.operators import relational as R
 from riskgraph.session import cut_lineage
 
-MAX_OUTCOMES = 16  # an outcome is a class label; more distinct values than this is an input error
+OUTCOMES = (0, 1)  # fixed by the data model: without and with a pest case
 
 SCORE_COLS = ["adamic_adar_score", "jaccard_score", "common_neighbors_count",
               "preferential_attachment_score"]
@@ -29,24 +29,31 @@ def node_degrees(adj: DataFrame) -> DataFrame:
 
 
 def pair_scores(adj: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b",
-                deg: DataFrame | None = None) -> DataFrame:
+                deg: DataFrame | None = None, b_nodes: DataFrame | None = None) -> DataFrame:
     """L-1..L-4 for the given pairs (``a`` should be the low-degree side).
 
     adamic_adar = sum over shared z of 1 / ln deg(z) (deg 1 skipped);
     jaccard = CN / (deg a + deg b - CN); common_neighbors = CN;
     preferential_attachment = deg a * deg b.
+
+    ``b_nodes`` (column ``b``): all values of ``b`` if they are a few known nodes.
+    Then only edges into them are looked at, and their degrees are a table of as many rows.
     """
     deg = deg if deg is not None else node_degrees(adj)
     keys = pairs.select(a, b)
     expand = keys.join(adj.select(F.col("node").alias(a), F.col("nbr").alias("_z")), on=a)
-    shared = expand.join(adj.select(F.col("node").alias("_z"), F.col("nbr").alias(b)),
-                         on=["_z", b], how="left_semi")
+    into = adj.select(F.col("node").alias("_z"), F.col("nbr").alias(b))
+    if b_nodes is not None:
+        into = into.join(F.broadcast(b_nodes), b)
+    shared = expand.join(into, on=["_z", b], how="left_semi")
     dz = deg.select(F.col("node").alias("_z"), F.col("deg").alias("_dz"))
     agg = shared.join(dz, "_z").groupBy(a, b).agg(
         F.count(F.lit(1)).alias("common_neighbors_count"),
         F.sum(F.when(F.col("_dz") > 1, 1.0 / F.log(F.col("_dz"))).otherwise(0.0)).alias("adamic_adar_score"))
     da = deg.select(F.col("node").alias(a), F.col("deg").alias("_da"))
     db = deg.select(F.col("node").alias(b), F.col("deg").alias("_db"))
+    if b_nodes is not None:
+        db = F.broadcast(db.join(F.broadcast(b_nodes), b))
     out = pairs.join(agg, [a, b], "left") \
         .join(da, a, "left").join(db, b, "left") \
         .withColumns({"common_neighbors_count": F.coalesce("common_neighbors_count", F.lit(0)).cast("long"),
@@ -67,11 +74,11 @@ def outcome_nodes(g: G.Graph) -> DataFrame:
 
 
 def outcome_domain(g: G.Graph) -> list[int]:
-    """Distinct outcome values, with a proven bound (raises beyond it)."""
-    vals = [r[0] for r in outcome_nodes(g).select("pest_value").distinct().limit(MAX_OUTCOMES + 1).collect()]
-    if len(vals) > MAX_OUTCOMES:
-        raise ValueError(f"more than {MAX_OUTCOMES} outcome nodes: not a class label")
-    return sorted(v for v in vals if v is not None)
+    """The outcome values of the data model; any other value is a data error."""
+    odd = outcome_nodes(g).where(F.col("pest_value").isNull() | ~F.col("pest_value").isin(*OUTCOMES)).select("pest_node_id").first()
+    if odd is not None:
+        raise ValueError(f"outcome node {odd[0]!r}: the value must be one of {OUTCOMES}")
+    return list(OUTCOMES)
 
 
 def candidate_pairs(g: G.Graph) -> DataFrame:
@@ -83,7 +90,7 @@ def candidate_pairs(g: G.Graph) -> DataFrame:
     dom = outcome_domain(g)
     outs = outcome_nodes(g)
     pairs = ents.withColumn("pest_value", F.explode(F.array(*[F.lit(v) for v in dom]))) \
-        .join(F.broadcast(outs), "pest_value")  # <= MAX_OUTCOMES rows, checked above
+        .join(F.broadcast(outs), "pest_value")  # a row for each of OUTCOMES, checked above
     return R.mark_existing(pairs, links, on=["entity_node_id", "pest_node_id"])
 
 
@@ -95,7 +102,8 @@ def link_pair_scores(g: G.Graph) -> DataFrame:
     g = G.Graph(g.nodes, cut_lineage(g.edges), g.undirected)
     adj = G.adjacency(g)
     pairs = candidate_pairs(g)
-    return pair_scores(adj, pairs, a="entity_node_id", b="pest_node_id")
+    outs = outcome_nodes(g).select("pest_node_id").distinct()      # at most len(OUTCOMES) rows, checked in candidate_pairs
+    return pair_scores(adj, pairs, a="entity_node_id", b="pest_node_id", b_nodes=outs)
 
 
 def link_heuristics(g: G.Graph, threshold: float = 0.5) -> DataFrame:

@@ -261,40 +261,22 @@ def class_rank(df: DataFrame, by: str, order: str | Column, out: str = "class_ra
     (ties: whatever order range partitioning yields; use unique orders).
 
     Exact and skew-safe: rows are range-partitioned on (by, order), which
-    splits even a single huge group over many tasks; per-partition group
-    counts (partitions x groups scalars) give each partition its offset; rows
-    are numbered inside their partition in one ``mapInPandas`` pass."""
+    splits even a single huge group over many tasks, and frozen; rows are numbered
+    inside (partition, group), and a group's counts in earlier partitions (a
+    DataFrame with at most one row per partition for each group) are added.
+    A NULL group is a group of its own.  Nothing reaches the driver."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.withColumn("_ord", order if isinstance(order, Column) else F.col(order)) \
-        .repartitionByRange(n, F.col(by), F.col("_ord")).sortWithinPartitions(by, "_ord")
+    ordered = df.withColumn("_rank_ord", order if isinstance(order, Column) else F.col(order)) \
+        .repartitionByRange(n, F.col(by), F.col("_rank_ord")).withColumn("_rank_pid", F.spark_partition_id())
     ordered = cut_lineage(ordered)  # freeze partition contents before numbering
-    counts = ordered.groupBy(F.spark_partition_id().alias("pid"), F.col(by).alias("g")) \
-        .agg(F.count(F.lit(1)).alias("n")).collect()
-    offsets: dict[tuple, int] = {}
-    running: dict = {}
-    for r in sorted(counts, key=lambda r: r["pid"]):
-        offsets[(r["pid"], r["g"])] = running.get(r["g"], 0)
-        running[r["g"]] = running.get(r["g"], 0) + r["n"]
-    bc = spark.sparkContext.broadcast(offsets)
-    schema = T.StructType(ordered.schema.fields + [T.StructField(out, T.LongType(), False)])
-
-    def number(it):
-        import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        seen: dict = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            g = pdf[by]
-            base = {v: bc.value.get((pid, v), 0) + seen.get(v, 0) for v in g.unique()}
-            local = g.groupby(g, sort=False).cumcount().astype("int64")
-            ranks = g.map(base).astype("int64") + local
-            for v, c in g.value_counts().items():
-                seen[v] = seen.get(v, 0) + int(c)
-            yield pdf.assign(**{out: pd.Series(ranks.values, index=pdf.index, dtype="int64")})
-    return ordered.mapInPandas(number, schema).drop("_ord")
+    sizes = ordered.groupBy(F.col("_rank_pid").alias("_rank_p"), F.col(by).alias("_rank_g")).agg(F.count(F.lit(1)).alias("_rank_n"))
+    before = sizes.select("_rank_p", "_rank_g", (F.sum("_rank_n").over(Window.partitionBy("_rank_g").orderBy("_rank_p")) - F.col("_rank_n")).alias("_rank_before"))
+    local = F.row_number().over(Window.partitionBy("_rank_pid", by).orderBy("_rank_ord"))
+    ranked = ordered.withColumn("_rank_r", local).join(
+        before, (F.col("_rank_pid") == F.col("_rank_p")) & F.col(by).eqNullSafe(F.col("_rank_g")))
+    return ranked.withColumn(out, (F.col("_rank_before") + F.col("_rank_r") - 1).cast("long")) \
+        .drop("_rank_ord", "_rank_pid", "_rank_p", "_rank_g", "_rank_n", "_rank_before", "_rank_r")
 
 
 def running_sums(df: DataFrame, order: str, cols: Sequence[str], descending: bool = False,
@@ -342,9 +324,9 @@ def stratified_split(df: DataFrame, y: str, key: str, test: float = 0.2, seed: i
     are the test rows; class proportions are exact."""
     ranked = class_rank(df, y, F.concat(X.seeded_order(key, seed), F.lit(":"), F.col(key).cast("string")))
     sizes = ranked.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per class: a broadcast of a table bounded by the class count
-    sizes = F.broadcast(sizes.withColumn("_k", F.ceil(F.col("_n") * F.lit(test))))
-    res = ranked.join(sizes, ranked[y] == sizes["_y"], "inner")
+    # one row per class; Catalyst broadcasts it if it is small
+    sizes = sizes.withColumn("_k", F.ceil(F.col("_n") * F.lit(test)))
+    res = ranked.join(sizes, ranked[y].eqNullSafe(sizes["_y"]), "inner")
     return res.withColumn(out, F.col("class_rank") < F.col("_k")).drop("_y", "_n", "_k", "class_rank")
 
 

@@ -168,6 +168,12 @@ def q_kcore(spark, sf):
     return CO.k_core(proj(spark, sf))
 
 
+@query("louvain")
+def q_louvain(spark, sf):
+    """H-C9: Louvain communities of the projection."""
+    return CO.louvain(proj(spark, sf))
+
+
 _COUNTRY_OF = """CASE WHEN n.label = 'Entity' THEN ef.country WHEN n.label = 'CountryMonth'
                  THEN 'C:' || regexp_replace(n.key, '_[0-9]+$', '') ELSE n.node_id END"""
 
@@ -200,7 +206,20 @@ def q_fastrp(spark, sf):
     return e.join(G.nodes_of(g, "Entity").select("node_id"), "node_id")
 
 
-@query("random_walks")
+def _walk_sql(length: int, per_node: int) -> str:
+    ctes = [S.BASE, S.DIM_NODES, S.MERGED_EDGES, S.PROJ_NO_TARGET,
+            """wadj AS (SELECT node, nbr, row_number() OVER (PARTITION BY node ORDER BY nbr) - 1 AS idx,
+                        count(*) OVER (PARTITION BY node) AS deg
+                        FROM (SELECT DISTINCT src AS node, dst AS nbr FROM proj_edges))""",
+            f"""w0 AS (SELECT node_id || '#' || CAST(r AS VARCHAR) AS walk_id, 0 AS step, node_id
+                       FROM proj_nodes, (SELECT unnest(range({per_node})) AS r))"""]
+    for i in range(1, length):
+        ctes.append(f"""w{i} AS (SELECT w.walk_id, {i} AS step, a.nbr AS node_id FROM w{i - 1} w JOIN wadj a ON a.node = w.node_id
+            AND a.idx = CAST('0x' || substr(md5('42:' || w.walk_id || ':{i}'), 1, 12) AS BIGINT) % a.deg)""")
+    return S.with_(*ctes) + " UNION ALL ".join(f"SELECT walk_id, CAST(step AS INTEGER) AS step, node_id FROM w{i}" for i in range(length))
+
+
+@query("random_walks", sql=_walk_sql(10, 10))
 def q_walks(spark, sf):
     """H-E2: 10 uniform walks of length 10 from every projection node."""
     return EM.random_walks(proj(spark, sf, exclude_target_edges=True), 10, 10)

@@ -21,23 +21,32 @@ from riskgraph.session import ensure_checkpoint_dir
 def _run_to_table(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream to the end of its input (``availableNow``) into Parquet
     under the checkpoint folder and return the written table.  Each
-    micro-batch is written by the executors (``foreachBatch``): appended
-    rows for ``append``, the full result replacing the last for
-    ``complete``.  Nothing is collected in the driver."""
+    micro-batch is written by the executors (``foreachBatch``) to a folder of its
+    epoch.  Nothing is collected in the driver."""
     spark = df.sparkSession
     name = f"rg_stream_{uuid.uuid4().hex[:10]}"
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"
     out = f"{base}/table"
-    write_mode = "overwrite" if mode == "complete" else "append"
-
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode(write_mode).parquet(out)
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
+    q = (df.writeStream.outputMode(mode).foreachBatch(epoch_sink(out))
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema(df.schema).parquet(out)
+    done = q.lastProgress
+    if done is None:
+        return spark.createDataFrame([], df.schema)
+    table = spark.read.schema(df.schema.add("epoch", "long")).parquet(out)
+    if mode == "complete":     # the last batch holds the whole result
+        table = table.where(F.col("epoch") == table.agg(F.max("epoch")).first()[0])
+    return table.drop("epoch")
+
+
+def epoch_sink(out: str):
+    """Sink that writes each micro-batch to a folder of its own and replaces it
+    when the batch is run again, so a retried batch leaves no row twice."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    return sink
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_two_cliques(spark):
     assert set(core.values()) == {3}
     comp = CO.connected_components(g)
     assert CO.component_count(comp).first()[0] == 1
-    lv = as_dict(CO.louvain(g, levels=2), "node_id", "community_id")
+    lv = as_dict(CO.louvain(g), "node_id", "community_id")
     assert len(set(lv.values())) == 2
     assert lv["a"] == lv["b"] == lv["c"] == lv["d"] and lv["e"] == lv["f"] == lv["g"] == lv["h"]
     q = CO.modularity(g, spark.createDataFrame(list(lv.items()), "node_id string, community_id string")).first()[0]
@@ -75,3 +75,23 @@ def test_pagerank_sums(spark):
     # no dangling nodes: the sum moves from n(1 - d) towards n by a factor d per turn
     assert sum(pr.values()) == pytest.approx(8 - (8 - 8 * 0.15) * 0.85 ** 20, rel=1e-9)
     assert pr["d"] == pytest.approx(pr["e"])
+
+
+def test_long_path_components_and_core(spark):
+    """A path as wide as it is long: components and core numbers have no turn limit."""
+    names = [f"n{i:04d}" for i in range(500)]
+    g = make_graph(spark, list(zip(names, names[1:])), nodes=["alone"])
+    comp = as_dict(CO.connected_components(g), "node_id", "component_id")
+    assert comp == {n: "n0000" for n in names} | {"alone": "alone"}
+    short = make_graph(spark, list(zip(names[:40], names[1:40])), nodes=["alone"])
+    core = as_dict(CO.k_core(short), "node_id", "core_value")
+    assert core == {n: 1 for n in names[:40]} | {"alone": 0}
+
+
+def test_louvain_never_below_start(spark):
+    """Two cliques joined by an edge are two communities; modularity is that of the split."""
+    a, b = [f"a{i}" for i in range(6)], [f"b{i}" for i in range(6)]
+    edges = [(x, y) for grp in (a, b) for i, x in enumerate(grp) for y in grp[i + 1:]] + [("a0", "b0")]
+    g = make_graph(spark, edges)
+    com = as_dict(CO.louvain(g), "node_id", "community_id")
+    assert com == {x: "a0" for x in a} | {x: "b0" for x in b}

@@ -83,3 +83,26 @@ def test_propagator_hub_path_matches_plain(spark):
         a = {r["node_id"]: r["x"] for r in plain.push(vals, ["x"], agg=agg).collect()}
         b = {r["node_id"]: r["x"] for r in split.push(vals, ["x"], agg=agg).collect()}
         assert a == b
+
+
+def test_class_rank_null_group(spark):
+    """NULL is a group of its own; ranks start at 0 in every group."""
+    from riskgraph.operators import relational as R
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(24)], "id int, y int")
+    for parts in (1, 8):
+        got = R.class_rank(df, "y", "id", partitions=parts).collect()
+        for g in (None, 0, 1):
+            ids = sorted((r["id"], r["class_rank"]) for r in got if r["y"] == g)
+            assert [k for _, k in ids] == list(range(len(ids)))
+    split = R.stratified_split(df, "y", "id", test=0.25).collect()
+    assert len(split) == 24 and sum(r["is_test"] for r in split if r["y"] is None) == 2
+
+
+def test_epoch_sink_replay(spark, tmp_path):
+    """A batch that runs again replaces its rows."""
+    from riskgraph.streaming.jobs import epoch_sink
+    sink = epoch_sink(str(tmp_path / "t"))
+    sink(spark.range(5), 0)
+    sink(spark.range(5, 8), 1)
+    sink(spark.range(5), 0)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(8))
