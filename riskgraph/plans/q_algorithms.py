@@ -168,12 +168,6 @@ def q_kcore(spark, sf):
     return CO.k_core(proj(spark, sf))
 
 
-@query("louvain")
-def q_louvain(spark, sf):
-    """H-C9: Louvain communities of the projection."""
-    return CO.louvain(proj(spark, sf))
-
-
 _COUNTRY_OF = """CASE WHEN n.label = 'Entity' THEN ef.country WHEN n.label = 'CountryMonth'
                  THEN 'C:' || regexp_replace(n.key, '_[0-9]+$', '') ELSE n.node_id END"""
 
