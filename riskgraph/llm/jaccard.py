@@ -16,7 +16,8 @@ sets lie in several regions.
 Below a similarity of ``PARTS_FROM`` parts would hold two or three shingles only;
 there sets meet that share a shingle of their prefixes (class ``Prefixes``).
 
-Inside a region its pivots (the least hash and up to ``PIVOTS`` more) do the
+Of a region only sets stay that, by size and by a sketch of counts (a lower bound
+of the difference of two sets), may link with another one.  Inside a region its pivots (the least hash and up to ``PIVOTS`` more) do the
 work: each set's distance to each pivot is taken, sets within the link distance
 are linked to the pivot (and so to each other), and of the others a set meets
 only those that the triangle inequality allows: for each pivot the two distances
@@ -39,6 +40,8 @@ BLOCK = 512          # sets of one side of a comparison task
 PIVOTS = 8           # pivots of a region whose distances serve as windows
 FREQUENT = 1000      # a frequent shingle is in at least one document of so many
 PARTS_FROM = 0.85    # from this similarity on parts hold enough shingles to tell sets apart
+SHINGLES_A_CELL = 5  # of the sketches that rule out most pairs before sets are read
+SKETCH_BLOCK = 2048  # sketches of one side of a comparison task
 GROWTH = 1.5         # size classes of the parts
 
 
@@ -139,6 +142,23 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     return keys[order], got["n"].to_numpy(np.int64)[order]
 
 
+def size_class(n: int) -> int:
+    """Classes of sizes by powers of ``GROWTH``."""
+    c = 0
+    while GROWTH ** (c + 1) <= n:
+        c += 1
+    return c
+
+
+def sketch(s: np.ndarray, cls: int) -> bytes:
+    """Counts (to 255) of a set's shingles in about a fifth as many cells as sets of this class and the next have shingles.
+
+    The sum of the differences of two sketches is at most the number of shingles that only one of the sets has."""
+    cells = max(8, int(GROWTH ** cls / SHINGLES_A_CELL))
+    got = np.bincount(((s >> np.uint64(7)) % np.uint64(cells)).astype(np.intp), minlength=cells)
+    return np.minimum(got, 255).astype(np.uint8).tobytes()
+
+
 def overlaps(s: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Size of the intersection of the sorted set ``s`` with each of the sets in ``flat``."""
     at = np.searchsorted(s, flat)
@@ -186,9 +206,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     parts = Parts(num, den) if num >= PARTS_FROM * den else Prefixes(num, den, *frequent_shingles(docs, width))
 
     def scan(cols):
-        out = {"doc_id": cols[0], "n_shingles": [], "same": [], "sid": [], "sigs": []}
+        out = {"doc_id": cols[0], "n_shingles": [], "same": [], "sid": [], "sigs": [], "classes": []}
         for text in cols[1]:
             s = shingle_set((text or b"").lower().split(), hasher, width)
+            # its own size class, and those that its larger partners may be in
+            out["classes"].append([{"cls": c, "sketch": sketch(s, c)} for c in range(size_class(len(s)), size_class(len(s) * den // num) + 1)] if len(s) else [])
             same = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             out["n_shingles"].append(len(s))
             out["same"].append(same)
@@ -196,20 +218,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
             out["sigs"].append(parts.signatures(s))
         return out
 
-    scanned = cut_lineage(map_batches(docs.select("doc_id", "text"), scan, "doc_id long, n_shingles long, same binary, sid long, sigs array<long>"))
+    scanned = cut_lineage(map_batches(docs.select("doc_id", "text"), scan, "doc_id long, n_shingles long, same binary, sid long, sigs array<long>, classes array<struct<cls:int,sketch:binary>>"))
     full = scanned.where("doc_id is not null and n_shingles > 0")
     named = full.select("doc_id", "same", "sid")
     reps = cut_lineage(named.groupBy("same", "sid").agg(F.min("doc_id").alias("rep")))
     # rows meet by id (ids close to each other take little room); copies are folded into their set behind that
     sig = full.select("doc_id", F.explode("sigs").alias("sig"))
     met = sig.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig", "lo")
-    pairs = sig.join(met, "sig").select("lo", "doc_id").distinct()     # includes the region's own document
-    names = named.select("doc_id", "sid").distinct()
-    members = (pairs.join(names, "doc_id").select("lo", F.col("sid").alias("node"))
-               .join(names.select(F.col("doc_id").alias("lo"), F.col("sid").alias("pivot")), "lo").select("pivot", "node").distinct())
-    members = cut_lineage(members)
-    more = members.where("pivot <> node").select("pivot").distinct()
-    members = cut_lineage(members.join(more, "pivot"))                 # without regions of copies alone
+    # of rows that meet at all, those of sizes that can link.  Copies are one node from here on, and a region of one node is none.
+    names = full.select("doc_id", "sid", F.col("classes.cls").alias("classes")).distinct()
+    rows = sig.join(met.select("sig"), "sig").join(names, "doc_id").select("sid", "sig", F.explode("classes").alias("cls"))
+    rows = cut_lineage(rows.distinct())
+    least = rows.groupBy("sig", "cls").agg(F.min("sid").alias("pivot"), F.max("sid").alias("hi")).where("pivot < hi").drop("hi")
+    members = rows.join(least, ["sig", "cls"]).select("pivot", "cls", F.col("sid").alias("node")).distinct()
+    sketches = full.select(F.col("sid").alias("node"), "n_shingles", F.explode("classes").alias("c")).select("node", "n_shingles", "c.cls", "c.sketch")
+    members = cut_lineage(likely(cut_lineage(members), sketches.dropDuplicates(["node", "cls"]), num, den))
     of = cut_lineage(reps.groupBy("sid").agg(F.min("rep").alias("rep")))
 
     def sets(cols):
@@ -234,6 +257,38 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def likely(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """``pivot, node``: members of a region that, by size and sketch, may link with another member."""
+    blocks = members.groupBy("pivot", "cls").agg(F.ceil(F.count("*") / SKETCH_BLOCK).cast("int").alias("b"))
+    rows = members.join(blocks, ["pivot", "cls"]).join(sketches, ["node", "cls"])
+    own = F.pmod(F.xxhash64("node", F.lit(3)), "b").cast("int")
+    each = F.explode(F.expr("sequence(0, b - 1)"))
+    cols = ["pivot", "cls", "l", "r", "side", "node", "n_shingles", "sketch"]
+    left = rows.withColumn("l", own).withColumn("r", each).withColumn("side", F.lit(0)).select(*cols)
+    right = rows.withColumn("r", own).withColumn("l", each).withColumn("side", F.lit(1)).select(*cols)
+
+    def pick(stream):
+        key, waiting, ids, sizes, cells = None, [], None, None, None
+        for pivot, cls, l, r, side, node, n, raw in stream:
+            if (pivot, cls, l, r) != key:
+                key, waiting, ids = (pivot, cls, l, r), [], None
+            if side == 0:
+                waiting.append((node, n, raw))
+                continue
+            if waiting:
+                ids, sizes = np.array([w[0] for w in waiting], np.int64), np.array([w[1] for w in waiting], np.int64)
+                cells, waiting = np.stack([np.frombuffer(w[2], np.uint8) for w in waiting]).astype(np.int16), []
+            if ids is None:
+                continue
+            at = np.flatnonzero((ids != node) & (den * np.minimum(sizes, n) >= num * np.maximum(sizes, n)))
+            if len(at):
+                apart = np.abs(cells[at] - np.frombuffer(raw, np.uint8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+                if (apart * (den + num) <= (sizes[at] + n) * (den - num)).any():
+                    yield pivot, node
+
+    return stream_groups(left.unionByName(right), ["pivot", "cls", "l", "r"], ["side", "node"], pick, "pivot long, node long").distinct()
+
+
 def region_links(held: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """Links ``(a, b)`` inside the regions ``members(pivot, node)`` of the sets ``held(node, set)``,
     enough to connect all that are connected."""
