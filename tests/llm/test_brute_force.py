@@ -152,15 +152,21 @@ def test_lines(spark, docs, rows):
 
 
 def test_line_links_equal_brute_force(spark, docs):
-    """Links are exactly the pairs within the radius and the edit similarity."""
-    fp = lines.fingerprints(docs).dropDuplicates(["k1"]).select("k1", "fp").collect()
-    close = {(min(a.k1, b.k1), max(a.k1, b.k1)) for i, a in enumerate(fp) for b in fp[i + 1:] if bin((a.fp ^ b.fp) & (2**64 - 1)).count("1") <= 2}
+    """Groups are those of all pairs within the radius and the edit similarity."""
     from pyspark.sql import functions as F
+    rng = random.Random(8)
+    base = [f"tok{i}" for i in range(90)]
+    family = []
+    for k in range(25):                                    # lines at all distances from each other
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(40)}"
+        family.append(" ".join(w))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000, "\n".join(family))], "doc_id long, text string"))
     rows = lines.fingerprints(docs)
     distinct = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n"))
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in lines.similar_lines(docs, distinct).collect()}
-    assert got <= close
-    text = {r.k1: r for r in distinct.collect()}
+    fp = distinct.collect()
+    close = [(a, b) for i, a in enumerate(fp) for b in fp[i + 1:] if bin((a.fp ^ b.fp) & (2**64 - 1)).count("1") <= 2]
     whole = {r.doc_id: r.text for r in docs.collect()}
     sep = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -172,9 +178,20 @@ def test_line_links_equal_brute_force(spark, docs):
                 cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
             prev = cur
         return prev[-1]
+    root = {r.k1: r.k1 for r in fp}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
     for a, b in close:
-        x, y = (sep.sub(" ", whole[text[k]["first"].doc_id].split("\n")[text[k]["first"].line].lower()).strip(" ") for k in (a, b))
-        assert ((a, b) in got) == (edit(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9))
+        x, y = (sep.sub(" ", whole[r["first"].doc_id].split("\n")[r["first"].line].lower()).strip(" ") for r in (a, b))
+        if edit(x, y) <= int(0.1 * max(len(x), len(y)) + 1e-9):
+            p, q = find(a.k1), find(b.k1)
+            root[max(p, q)] = min(p, q)
+    got = {r.node: r.root for r in lines.line_groups(docs, distinct).collect()}
+    assert got == {k: find(k) for k in root if find(k) != k or k in {find(x) for x in root if x != k}}
+    assert len(got) > 5
 
 
 def test_language(spark):
