@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.common import held_out, map_batches, written
+from riskgraph.llm.common import held_out, map_batches
+from riskgraph.session import cut_lineage
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6)         # prefix lengths of word stems
@@ -146,7 +147,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataF
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
     """Features, weights and intercept of the classifier."""
-    rows = written(sample_rows(docs, labels))
+    rows = cut_lineage(sample_rows(docs, labels))
     size = rows.agg(F.count("*"), F.sum("toxic")).first()
     n, pos = size[0], int(size[1] or 0)
     if not pos or pos == n:
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, floa
         return {"f": list(total), "n": list(total.values()), "k": [toxic[f] for f in total]}
 
     stats = map_batches(rows, count, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    stats = written(stats.where(F.col("n") >= LEAST_ROWS))
+    stats = cut_lineage(stats.where(F.col("n") >= LEAST_ROWS))
     rate = F.lit(pos / n)
     share = F.col("k") / F.col("n")
     gain = (F.col("k") * F.log((share + 1e-6) / rate) + (F.col("n") - F.col("k")) * F.log((1 - share + 1e-6) / (1 - rate)))

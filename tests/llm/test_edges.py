@@ -1,9 +1,10 @@
 """Every operator and stage on nulls, empty and very long texts, ties, equal rows, empty tables and clashing column names."""
 import pytest
 
-from conftest import edge_rows
 from riskgraph.llm import decontam, jaccard, langid, licenses, lines, mixing, quality, substring, toxicity, urls
 
+from .rows import edge_rows
+
 SPARE = "toxic int, quality int, doc_id long"
 
 
