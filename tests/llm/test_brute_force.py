@@ -194,6 +194,43 @@ def test_line_links_equal_brute_force(spark, docs):
     assert len(got) > 5
 
 
+def test_near_lines_are_found_by_edit_similarity_alone(spark):
+    """Short lines: all pairs of edit similarity 0.9; longer ones: a letter or a word changed."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+
+    def changed(line, k):
+        for at in sorted(rng.sample(range(len(line)), k), reverse=True):
+            line = line[:at] + rng.choice(["", "q", line[at] + "z"]) + line[at + 1:]
+        return " ".join(line.split())
+    pairs = []
+    for n in range(10, 54):                                # up to one change more than the length allows
+        for _ in range(4):
+            a = " ".join(word() for _ in range(20))[:n].strip() + "x"
+            b = changed(a, rng.randrange(1, len(a) // 10 + 2))
+            pairs.append((a, b, True))
+    for n in (12, 20, 40, 100):
+        for _ in range(20):
+            w = [word() for _ in range(n)]
+            pairs.append((" ".join(w), changed(" ".join(w), 1), False))
+            pairs.append((" ".join(w), " ".join(w[:n // 2] + [w[n // 2][:1] + "q"] + w[n // 2 + 1:]), False))
+
+    def edit(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            cur = [i]
+            for j, y in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+            prev = cur
+        return prev[-1]
+    same = [edit(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9) for a, b, _ in pairs]
+    data = [(2 * i, a) for i, (a, _, _) in enumerate(pairs)] + [(2 * i + 1, b) for i, (_, b, _) in enumerate(pairs)]
+    gone = {r.doc_id: r.n_removed for r in lines.line_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(same) > 250 and not all(same)
+    for i, s in enumerate(same):
+        assert gone[2 * i + 1] == s, pairs[i]
+
+
 def test_language(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     truth = {r.doc_id: r.lang for r in docs.collect()}
