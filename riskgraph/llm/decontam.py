@@ -2,11 +2,13 @@
 
 A document is tainted by a benchmark item if one of its windows of as many
 words as the item has a weighted Jaccard similarity (multisets of ``WIDTH``-word
-shingles) of ``SIMILARITY`` or more with it.
+shingles) of ``SIMILARITY`` or more with it.  A document of fewer words than the item
+has one window, its whole text.
 
 1. Mask: a position of a document is marked for n if its shingle occurs in an item
    of n words.  A window that similar shares at least 2s / (1 + s) of its shingles with
-   one item, so windows of n words with fewer marks for n are passed over; nothing is lost.
+   one item (a shorter document s / (1 + s) of both counts together), so windows with
+   fewer marks for n are passed over; nothing is lost.
 2. Fingerprints: the remaining item-sized windows and the items get 128-bit SimHashes
    (majority of each bit over the shingles).
 3. Multi-index: the 16 blocks of 8 bits.  Of fingerprints within ``RADIUS`` = 31
@@ -117,15 +119,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least:
         rows = base.where(F.size("w") >= n)
         rows = with_shingles(rows, "w", "g", width) if n == width else rows.withColumn("g", runs_of("w", n))
         # the outer form: from a plain explode Catalyst infers a filter on the array, which repeats its expressions
-        rows = rows.select("doc_id", "th", F.posexplode_outer("g").alias("pos", "s")).where("s is not null")
+        rows = rows.select("doc_id", "th", F.size("w").alias("m"), F.posexplode_outer("g").alias("pos", "s")).where("s is not null")
         size = F.col("n") >= width if n == width else F.col("n") == n
-        got = rows.join(vocabulary.where(size) if n != width else vocabulary, "s").where(size).select("doc_id", "th", "n", "pos")
+        got = rows.join(vocabulary.where(size) if n != width else vocabulary, "s").where(size).select("doc_id", "th", "m", "n", "pos")
         hits = got if hits is None else hits.unionByName(got)
 
     # the marks of a document for one n: at most one for each of its words
-    per = hits.groupBy("doc_id", "th", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"))
-    k = F.when(F.col("n") >= width, F.col("n") - width + 1).otherwise(1)
-    need = F.ceil(k * (2 * least / (1 + least)) - F.lit(1e-9)).cast("int")
+    per = hits.groupBy("doc_id", "th", "m", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    # k: shingles of the window, the whole text (at least width words) if the document is shorter than n
+    k = F.when(F.col("n") >= width, F.least("n", "m") - width + 1).otherwise(1)
+    of_item = F.when(F.col("n") >= width, F.col("n") - width + 1).otherwise(1)
+    need = F.ceil((k + of_item) * (least / (1 + least)) - F.lit(1e-9)).cast("int")
     per = per.select("*", k.alias("k"), need.alias("need")).where(F.size("p") >= F.col("need"))
 
     def first_mark(i):
@@ -144,9 +148,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least:
     held = (texts.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
             .select("doc_id", "th", lower_words(F.col("text")).alias("w"), F.explode("spots").alias("spot")))
     windows = (held.select("doc_id", "th", "w", "spot.n", "spot.k", F.explode("spot.starts").alias("start"))
-               .where(F.col("start") + F.col("n") <= F.size("w"))
+               .where(F.col("start") + F.least(F.col("n"), F.size("w")) <= F.size("w"))
                .select("doc_id", "th", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("v")))
-    windows = with_shingles(windows, "v", "g0", width).select("doc_id", "th", "n", "start", numbered("g0").alias("g"))
+    windows = with_shingles(windows, "v", "g0", width).select("doc_id", "th", "n", "start", F.size("v").alias("nw"), numbered("g0").alias("g"))
     windows = cut_lineage(windows.withColumn("gh", F.xxhash64("n", "g")))
 
     # fingerprints of different windows only: a passage that many documents share is looked up once
@@ -162,7 +166,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least:
                            (shared / (F.size("g") + F.size("ig") - shared)).alias("similarity")).where(F.col("similarity") >= least)
     found = windows.join(verified, (F.col("n") == F.col("n2")) & (F.col("gh") == F.col("gh2")))
     best = found.groupBy(*by, "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n").alias("n"))).alias("b"))
+        F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("nw").alias("n"))).alias("b"))
     return best.select(*by, "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"),
                        F.round("b.similarity", 6).alias("similarity"))
 

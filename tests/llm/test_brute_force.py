@@ -71,6 +71,16 @@ def test_leaks(docs, spark, rows):
     assert got == expected and got
 
 
+def test_leaks_of_texts_shorter_than_the_item(spark):
+    items = {1: [f"a{i}" for i in range(59)], 2: [f"b{i}" for i in range(15)], 3: [f"c{i}" for i in range(45)]}
+    texts = {1: items[1][:-5], 2: items[2][:-1], 3: items[3][5:], 4: items[1][:46], 5: items[1][:40], 6: items[2][:4]}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in decontam.find_leaks(docs, bench).collect()}
+    # 46 of 59 words: 42 of 55 shingles, below 0.8
+    assert got == {(1, 1): (0, 54, round(50 / 55, 6)), (2, 2): (0, 14, round(10 / 11, 6)), (3, 3): (0, 40, round(36 / 41, 6))}
+
+
 def brute_components(rows, width, num, den):
     sets, root = {}, {}
     for d, t in rows:
