@@ -6,10 +6,11 @@ the language's text, and the next phrase starts behind it.  The language that
 needs the fewest phrases, normalised by the text's length and by the logarithm
 of the training length (longer training text means longer matches), wins.
 
-The automata are fitted on a bounded sample: per language, whole documents in
-hash order while they fit into ``TRAIN_BYTES`` bytes (a document that doesn't
-fit is passed over), of the first ``TRAIN_ROWS`` documents in that order.  All text of all
-documents is parsed; texts are cut into lanes of ``LANE`` bytes that are parsed
+The automata are fitted on a bounded sample: per language, of each different
+text with a letter a span of ``SPAN`` characters from a place its hash chooses, in
+hash order while they fit into ``TRAIN_BYTES`` bytes (one that doesn't fit is passed
+over), of the first ``TRAIN_ROWS`` in that order.  A span has at most 4 x ``SPAN`` bytes,
+so each language with a labelled letter is learned.  All text of all documents is parsed; texts are cut into lanes of ``LANE`` bytes that are parsed
 side by side with numpy, so a lane's end also ends a phrase."""
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from riskgraph.llm.common import held_out, map_batches
 from riskgraph.session import cut_lineage
 
-TRAIN_BYTES, TRAIN_ROWS = 40_000, 200
+TRAIN_BYTES, TRAIN_ROWS, SPAN = 40_000, 200, 2_000
 LANE, PART = 512, 8_000_000
 SHARPNESS = 24
 LETTER = re.compile(r"[^\W\d_]")
+SQL_LETTER = r"[\p{L}\p{Nl}\p{No}]"     # the same characters for Spark's functions
 ASCII_OTHER = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
@@ -133,25 +135,31 @@ def models_of(train: dict[str, bytes]) -> Models:
 
 def training_text(docs: DataFrame) -> dict[str, bytes]:
     """Per language the sample's text, at most ``TRAIN_BYTES`` (plus separators)."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("n")).where(f"n <= {TRAIN_BYTES}")
+    h = F.xxhash64("text")
+    at = F.pmod(F.xxhash64(h, F.lit(7)), F.greatest(F.lit(1), F.length("text") - SPAN + 1)) + 1
+    chosen = F.substring("text", at.cast("int"), F.lit(SPAN))
+    spans = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(SQL_LETTER) & ~held_out(F.col("doc_id")))
+    spans = spans.select("lang", h.alias("h"), "text", chosen.alias("_c"))
+    first_letter = F.substring("text", F.regexp_instr("text", F.lit(SQL_LETTER)), F.lit(SPAN))
+    spans = spans.select("lang", "h", F.when(F.col("_c").rlike(SQL_LETTER), F.col("_c")).otherwise(first_letter).alias("span"))
+    rows = spans.groupBy("lang", "h").agg(F.max(F.octet_length("span")).alias("n"))      # copies count once
     # the least in 64 slices of a language first, so that no window holds a whole language
     own = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     first = rows.withColumn("r", F.row_number().over(own)).where(F.col("r") <= TRAIN_ROWS)
     first = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= TRAIN_ROWS)
-    picked, room = {}, {}
+    picked, room = [], {}
     for r in cut_lineage(first).select("lang", "h", "n", "r").orderBy("lang", "r").collect():     # TRAIN_ROWS rows a language
         if room.setdefault(r["lang"], TRAIN_BYTES) >= r["n"]:
             room[r["lang"]] -= r["n"]
-            picked[r["h"]] = r["lang"]
+            picked.append((r["lang"], r["h"]))
     if not picked:
         return {}
-    texts = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("_h", F.xxhash64("doc_id", "text"))
-    got = texts.where(F.col("_h").isin(list(picked))).select("lang", "_h", "text").dropDuplicates(["lang", "_h"]).orderBy("_h").collect()
+    wanted = set(picked)
+    got = spans.where(F.col("h").isin(list({h for _, h in picked}))).groupBy("lang", "h").agg(F.max("span").alias("span")).orderBy("h").collect()
     out: dict[str, list[bytes]] = {}
     for r in got:
-        if LETTER.search(r["text"]) and picked[r["_h"]] == r["lang"]:
-            out.setdefault(r["lang"], []).append(plain(r["text"]))
+        if (r["lang"], r["h"]) in wanted:
+            out.setdefault(r["lang"], []).append(plain(r["span"]))
     return {k: b" ".join(v) for k, v in out.items()}
 
 

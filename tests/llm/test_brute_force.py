@@ -249,6 +249,24 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Only long texts, one text among many letterless rows, and copies."""
+    rng = random.Random(4)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    data = [(i, text("abcd", 9_000), "long") for i in range(4)]
+    data += [(100 + i, "123 " * i, "rare") for i in range(400)] + [(900 + i, "7 " * 9_000 + text("mnop", 300), "rare") for i in range(4)]
+    same = text("stuv", 400)
+    data += [(2_000 + i, same, "copied") for i in range(600)] + [(3_000 + i, text("stuv", 30), "copied") for i in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    train = langid.training_text(docs)
+    assert set(train) == {"long", "rare", "copied"} and max(map(len, train.values())) <= langid.TRAIN_BYTES
+    assert train["copied"].count(same[:500].encode()) <= 1 and len(train["copied"]) > len(same) + 500
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert got[0] == "long" and got[900] == "rare" and got[3_000] == "copied"
+
+
 def test_cross_parsing_counts():
     train, text = b"abracadabra alakazam", b"cadabra zalaka bra"
     m = langid.Models({"x": train})
