@@ -45,51 +45,53 @@ def keys_of(text: bytes | None, hasher: WordHasher, length: int) -> np.ndarray:
 
 
 def level0(docs: DataFrame, length: int) -> DataFrame:
-    """Per row: ``doc_id, n_words, same`` (hash of the word sequence) and ``ms``, the distinct least half-length windows."""
+    """Per row: ``doc_id, th, n_words, same`` (hash of the word sequence) and ``ms``, the distinct least half-length windows."""
     hasher = WordHasher(0)
 
     def run(cols):
-        out = {"doc_id": cols[0], "n_words": [], "same": [], "ms": []}
-        for text in cols[1]:
+        out = {"doc_id": cols[0], "th": cols[1], "n_words": [], "same": [], "ms": []}
+        for text in cols[2]:
             words = (text or b"").split()
             out["n_words"].append(len(words))
             out["same"].append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
             out["ms"].append(np.unique(keys_of(text, hasher, length)).view(np.int64))
         return out
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_words long, same binary, ms array<long>")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, n_words long, same binary, ms array<long>")
 
 
 def candidate_keys(scanned: DataFrame) -> DataFrame:
-    """``doc_id, ms``: of each document the half-length windows that another document holds too."""
-    first = scanned.select("doc_id", F.explode("ms").alias("m"))
+    """``doc_id, th, ms``: of each text of a document the half-length windows that another document holds too."""
+    first = scanned.select("doc_id", "th", F.explode("ms").alias("m"))
     seen = first.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
-    return first.join(seen, "m").groupBy("doc_id").agg(F.collect_list("m").alias("ms"))
+    return first.join(seen, "m").groupBy("doc_id", "th").agg(F.collect_list("m").alias("ms"))
 
 
 def repeated_windows(docs: DataFrame, keys: DataFrame, length: int) -> DataFrame:
-    """``doc_id, starts``: where windows of ``length`` words start that also start in a document
+    """``doc_id, th, starts``: where windows of ``length`` words start that also start in a document
     with a smaller id.  Only windows whose half-length key is in ``keys`` are extended and compared;
     documents without any such start are left out."""
     hasher = WordHasher(0)
 
     def extend(cols):
-        ids, pos, hs = [], [], []
-        for d, text, ms in zip(*cols):
+        ids, ths, pos, hs = [], [], [], []
+        for d, th, text, ms in zip(*cols):
             words = text.split()
             rolling = RollingHash(hasher(words))
             half = length // 2
             m = minimisers(rolling.windows(half), length - half + 1)
             at = np.flatnonzero(np.isin(m, np.array(ms, np.int64).view(np.uint64)))
             ids.append(np.full(len(at), d, np.int64))
+            ths.append(np.full(len(at), th, np.int64))
             pos.append(at.astype(np.int32))
             hs.append(rolling.windows(length)[at].view(np.int64))
         cat = lambda x: np.concatenate(x) if x else []
-        return {"doc_id": cat(ids), "pos": cat(pos), "h": cat(hs)}
+        return {"doc_id": cat(ids), "th": cat(ths), "pos": cat(pos), "h": cat(hs)}
 
-    windows = map_batches(docs.join(keys, "doc_id").select("doc_id", "text", "ms"), extend, "doc_id long, pos int, h long")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(keys, ["doc_id", "th"])
+    windows = map_batches(texts.select("doc_id", "th", "text", "ms"), extend, "doc_id long, th long, pos int, h long")
     least = windows.groupBy("h").agg(F.min("doc_id").alias("lo"))
     return (windows.join(least, "h").where("doc_id > lo")
-            .groupBy("doc_id").agg(F.collect_list("pos").alias("starts")))
+            .groupBy("doc_id", "th").agg(F.collect_list("pos").alias("starts")))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -97,16 +99,16 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
 
     A null text has no words.  A row with a null id counts as before all others:
     it is a source of repeats and loses none.  Rows that repeat an id: windows of
-    one id are one document's, so equal rows lose nothing to each other.  Other
-    columns are ignored."""
+    one id are one document's, so equal rows lose nothing to each other; different
+    texts of one id are copies or not each by itself.  Other columns are ignored."""
     src = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text")
     scanned = cut_lineage(level0(src, length))
     twin = scanned.groupBy("same").agg(F.min("doc_id").alias("twin"))
-    copies = cut_lineage(scanned.where(f"n_words >= {length}").join(twin, "same").where("doc_id > twin").select("doc_id").distinct())
-    keys = cut_lineage(candidate_keys(scanned.join(copies, "doc_id", "left_anti")))
+    copies = cut_lineage(scanned.where(f"n_words >= {length}").join(twin, "same").where("doc_id > twin").select("doc_id", "th").distinct())
+    keys = cut_lineage(candidate_keys(scanned.join(copies, ["doc_id", "th"], "left_anti")))
     starts = repeated_windows(src, keys, length)
-    marks = starts.unionByName(copies.select("doc_id", F.array(F.lit(-1)).alias("starts")))
-    rows = src.join(marks, "doc_id", "left")
+    marks = starts.unionByName(copies.select("doc_id", "th", F.array(F.lit(-1)).alias("starts")))
+    rows = src.withColumn("th", F.xxhash64("text")).join(marks, ["doc_id", "th"], "left").select("doc_id", "text", "starts")
 
     def cut(cols):
         out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")}

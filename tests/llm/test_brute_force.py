@@ -39,6 +39,14 @@ def test_substring_dedup(docs, rows):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_substrings_of_a_repeated_id(spark):
+    """A copy and a unique text under one id."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + " tail")], "doc_id long, text string")
+    got = {(r.doc_id, r.kept_text): r.n_removed for r in substring.dedup_substrings(docs, with_text=True).collect()}
+    assert got == {(1, a): 0, (2, ""): 60, (2, b): 0, (3, "tail"): 60}
+
+
 def test_doubling(spark):
     w = [f"w{i}" for i in range(400)]
     data = [(1, " ".join(w)), (2, "x " + " ".join(w[:250])), (3, "y " + " ".join(w[300:360])), (4, "z")]
