@@ -123,7 +123,15 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def scan(text: str, find: ahocorasick.Automaton) -> tuple:
+def tag_automaton() -> ahocorasick.Automaton:
+    """Finds tags in the raw text (phrases are found in its words)."""
+    a = ahocorasick.Automaton()
+    a.add_word(TAG, TAG)
+    a.make_automaton()
+    return a
+
+
+def scan(text: str, find: ahocorasick.Automaton, tags: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of a text whose A-Z are lower-cased."""
     words = WORD.findall(text)
     hay = " " + " ".join(words) + " "
@@ -138,14 +146,12 @@ def scan(text: str, find: ahocorasick.Automaton) -> tuple:
                 miss *= 1 - c
             labels.add(label)
     miss *= (1 - BASE_CONFIDENCE) ** len(base)
-    at = text.find(TAG)
-    while at >= 0:
-        stop = text.find("\n", at)
-        found = tag_labels(text[at + len(TAG): stop if stop >= 0 else len(text)])
+    for end, _ in tags.iter(text):
+        stop = text.find("\n", end)
+        found = tag_labels(text[end + 1: stop if stop >= 0 else len(text)])
         if found:
             labels |= found
             miss *= 1 - TAG_CONFIDENCE
-        at = text.find(TAG, at + len(TAG))
     labels |= base
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), round(1 - miss, 6) + 0.0)
@@ -159,14 +165,14 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` with the columns of ``SCHEMA``.
 
     A null text counts as empty (no words, empty labels, null places, score 0);
-    repeated rows each get their row; other columns are ignored.  The automaton
-    holds the fixed phrases only and is built once in each task."""
+    repeated rows each get their row; other columns are ignored.  The automata
+    hold the fixed phrases and the tag only and are built once in each task."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     state = {}
 
     def run(cols):
-        find = state.get("a") or state.setdefault("a", automaton())
-        rows = [(d, *scan((t or b"").lower().decode("utf-8", "replace"), find)) for d, t in zip(*cols)]
+        find, tags = state.get("a") or state.setdefault("a", (automaton(), tag_automaton()))
+        rows = [(d, *scan((t or b"").lower().decode("utf-8", "replace"), find, tags)) for d, t in zip(*cols)]
         return {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
     return map_batches(docs.select("doc_id", "text"), run, SCHEMA)

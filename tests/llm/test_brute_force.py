@@ -392,6 +392,13 @@ def test_license_expressions():
     assert licenses.tag_labels(" (mit or apache-2.0) some words") == {"mit", "apache"}
 
 
+def test_tags_come_from_an_automaton():
+    text = "spdx-license-identifier: mit\nx spdx-license-identifier:isc\nspdx-license-identifier: (bsd or"
+    ends = [e for e, _ in licenses.tag_automaton().iter(text)]
+    assert ends == [m.end() - 1 for m in re.finditer(licenses.TAG, text)]
+    assert licenses.scan(text, licenses.automaton(), licenses.tag_automaton())[5:] == ("isc,mit", 1.0)
+
+
 def test_license_scan(spark, docs, rows):
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
     data = rows + [(90_000, "The MIT-License, mit license mit license; GNU General\nPublic License é-license"), (90_001, "SPDX-License-Identifier: MIT OR Apache-2.0\nx")]
