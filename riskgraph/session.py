@@ -53,9 +53,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: written to the shared checkpoint folder, so the
-    result survives the loss of an executor (never ``localCheckpoint``)."""
+    result survives the loss of an executor (never ``localCheckpoint``).
+
+    The size that the planner takes for the result is that of the written
+    files.  ``checkpoint()`` alone hands on the estimate of the plan that it
+    cuts; joins multiply estimates, so a loop's would grow without end."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _with_size(df.checkpoint(eager=True))
+
+
+def _with_size(done: DataFrame) -> DataFrame:
+    """A checkpointed frame whose estimated size is the size of its files."""
+    spark = done.sparkSession
+    jvm = spark._jvm
+    plan = done._jdf.queryExecution().analyzed()
+    none = getattr(jvm.scala, "None$").__getattr__("MODULE$")
+    # py4j can't pass the planner's big integers, so a range of as many bytes lends its estimate
+    longs = -(-max(1, _checkpoint_bytes(spark, plan.rdd())) // 8)
+    stats = spark.range(longs)._jdf.queryExecution().analyzed().stats()
+    sized = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none,
+        spark._jsparkSession, jvm.scala.Some(stats), none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sized), spark)
+
+
+def _checkpoint_bytes(spark: SparkSession, rdd) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def estimated_bits(df: DataFrame) -> int:
+    """Length in bits of the planner's size estimate for ``df``."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
 
 
 class Loop:

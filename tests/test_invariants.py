@@ -106,3 +106,13 @@ def test_epoch_sink_replay(spark, tmp_path):
     sink(spark.range(5, 8), 1)
     sink(spark.range(5), 0)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(8))
+
+
+def test_cuts_forget_size_estimates(spark):
+    """Joins multiply estimates; after a cut the estimate is the size of the checkpoint's files."""
+    from riskgraph.session import cut_lineage, estimated_bits
+    d = cut_lineage(spark.range(1000).withColumn("t", F.lit("abc")))
+    for _ in range(4):
+        d = cut_lineage(d.join(d.select("id", F.col("t").alias("u")), "id").join(d.select("id"), "id").select("id", "t"))
+        assert estimated_bits(d) < 64 and d.count() == 1000
+    assert estimated_bits(d) < 20
