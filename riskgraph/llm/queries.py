@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskgraph.llm import decontam, jaccard, langid, licenses, lines, mixing, quality, substring, toxicity, urls
+from riskgraph.llm import decontam, jaccard, langid, licenses, lines, minhash, mixing, negatives, oracles, periodic, quality, substring, toxicity, urls
 from riskgraph.llm.common import table
 
 
@@ -60,7 +61,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, of which some get a periodic tail by their id."""
+    return periodic.run_digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.plant_period))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard of 4-word shingles at 0.8 or more."""
+    return minhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all anchors (vec_id divisible by 100); labels of ids divisible by 7 move on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_language_id, op4_toxicity, op5_quality_rules, op6_url_filter, op7_line_dedup, op8_mix_sources, op9_license_scan, op10_jaccard_join)}
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_substring_dedup, op3_language_id, op4_toxicity, op5_quality_rules, op6_url_filter, op7_line_dedup, op8_mix_sources, op9_license_scan, op10_jaccard_join, op11_periodic_runs, op12_minhash_dedup, op13_hard_negatives)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
