@@ -15,7 +15,12 @@ first one; pairs within the radius and of fitting sizes are confirmed and
 connect most of a group of copies.  What is connected need not be compared again, so
 only keys that still hold sets of different components go on: there all pairs of different
 components within the radius, found in blocks of signatures, are confirmed.  No link
-between components is lost and a group of copies never meets itself whole."""
+between components is lost and a group of copies never meets itself whole.
+
+Many sets may lie within the radius and yet not link (a symbol in ten is luck).  So that
+these pairs are neither written nor read in full, a set brings its parity bits along: one bit
+for each residue of its shingles, flipped by each.  Bits in which two sets differ are at most the
+shingles that only one of them has, so a pair with too many can't link; the others are confirmed."""
 
 from __future__ import annotations
 
@@ -33,7 +38,8 @@ CHUNKS, WIDTH, BITS = 10, 4, 16
 SYMBOLS = CHUNKS * WIDTH
 RADIUS = 2 * CHUNKS - 1
 BLOCK = 1024             # signatures of one side of a comparison task
-TEXTS = 512              # texts that are confirmed with one other in a task
+TEXTS = 64               # texts that are confirmed with one other in a task
+MOST_BITS = 1 << 15      # parity bits of a set at most (a bound for its size on the way, the filter stays safe)
 FUNCTIONS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -48,6 +54,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Parities of the counts of a set's shingles by residue; a power of two, twice the set's size or more, of residues."""
+    m = 64
+    while m < 2 * len(s) and m < MOST_BITS:
+        m *= 2
+    got = np.bincount((s & np.uint64(m - 1)).astype(np.intp), minlength=m) & 1
+    return np.packbits(got.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold_bits(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits over fewer residues."""
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def may_link(na: int, nb: int, a: bytes, b: bytes, num: int, den: int) -> bool:
+    """False if two sets of these sizes and parity bits can't link: they differ in too many shingles."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    apart = int(np.bitwise_count(fold_bits(x, size) ^ fold_bits(y, size)).sum())
+    return apart * (den + num) <= (na + nb) * (den - num)
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """``CHUNKS * WIDTH`` keys for each signature: a chunk without one of its symbols (exact, no hash)."""
     s = sig.astype(np.int64)
@@ -90,13 +120,13 @@ def near_components(docs: DataFrame, width: int = 4, num: int = 80, den: int = 1
         sig = iter(signatures([s for s in sets if len(s)]))
         return {"doc_id": cols[0], "n_shingles": [len(s) for s in sets],
                 "same": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "sig": [next(sig).tobytes() if len(s) else None for s in sets]}
+                "sig": [next(sig).tobytes() if len(s) else None for s in sets], "bits": [parity_bits(s) if len(s) else None for s in sets]}
 
-    scanned = cut_lineage(map_batches(docs.select("doc_id", "text"), scan, "doc_id long, n_shingles long, same binary, sig binary"))
+    scanned = cut_lineage(map_batches(docs.select("doc_id", "text"), scan, "doc_id long, n_shingles long, same binary, sig binary, bits binary"))
     full = scanned.where("doc_id is not null and n_shingles > 0")
-    folded = full.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    folded = full.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     folded = cut_lineage(folded)
-    nodes = folded.select("node", "n", "sig")
+    nodes = folded.select("node", "n", "sig", "bits")
 
     def spread(cols):
         sig = np.frombuffer(b"".join(cols[1]), np.uint16).reshape(-1, SYMBOLS)
@@ -107,7 +137,8 @@ def near_components(docs: DataFrame, width: int = 4, num: int = 80, den: int = 1
     members = cut_lineage(keys.join(met, "key").where("node <> lead"))
 
     tried = cut_lineage(close_pairs(members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), nodes, num, den))
-    links = cut_lineage(confirm(docs, tried, width, num, den))
+    # about as many texts as there are copies: always by shuffle, at every size
+    links = cut_lineage(confirm(docs.hint("shuffle_merge"), tried, width, num, den))
     root = components(links)
     more = other_pairs(members, nodes, root, num, den).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(cut_lineage(confirm(docs, cut_lineage(more), width, num, den)))
@@ -119,22 +150,21 @@ def near_components(docs: DataFrame, width: int = 4, num: int = 80, den: int = 1
 
 
 def close_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those within the radius and of sizes that can link."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    """Of ``pairs(a, b)`` those within the radius that can link by size and parity bits."""
+    one, two = (nodes.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "sig", "bits"))) for x in "ab")
 
     def near(cols):
-        a, b, na, nb, sa, sb = cols
+        a, b, na, nb, sa, sb, ba, bb = cols
         sig = [np.frombuffer(b"".join(s), np.uint16).reshape(-1, SYMBOLS) for s in (sa, sb)]
-        ok = ((sig[0] != sig[1]).sum(axis=1) <= RADIUS).nonzero()[0]
-        return {"a": np.array(a, np.int64)[ok], "b": np.array(b, np.int64)[ok]}
+        ok = [i for i in ((sig[0] != sig[1]).sum(axis=1) <= RADIUS).nonzero()[0] if may_link(na[i], nb[i], ba[i], bb[i], num, den)]
+        return {"a": [a[i] for i in ok], "b": [b[i] for i in ok]}
 
     fit = pairs.join(two, "b").join(one, "a").where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-    return map_batches(fit.select("a", "b", "na", "nb", "sa", "sb"), near, "a long, b long").distinct()
+    return map_batches(fit.select("a", "b", "na", "nb", "siga", "sigb", "bitsa", "bitsb"), near, "a long, b long").distinct()
 
 
 def other_pairs(members: DataFrame, nodes: DataFrame, root: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b`` (a < b): pairs of different components that share a key, lie within the radius and have sizes that can link.
+    """``a, b`` (a < b): pairs of different components that share a key, lie within the radius and can link by size and parity bits.
 
     Pairs with the first set of a key are left to the caller, who has had them."""
     part = members.join(root.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -143,7 +173,7 @@ def other_pairs(members: DataFrame, nodes: DataFrame, root: DataFrame, num: int,
     own = F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int")
     # each pair of blocks once: a row goes to its block beside each other one
     rows = rows.withColumn("own", own).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("own", "o").alias("l"), F.greatest("own", "o").alias("r"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "part", "n", "sig")
+    rows = rows.select("key", F.least("own", "o").alias("l"), F.greatest("own", "o").alias("r"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "part", "n", "sig", "bits")
 
     def pick(stream):
         group, held = None, []
@@ -175,7 +205,8 @@ def other_pairs(members: DataFrame, nodes: DataFrame, root: DataFrame, num: int,
             if len(at):
                 at = at[first_shared(sig[at], sig[i]) == slot]            # told once, by the first key that the pair shares
                 for j in at:
-                    yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+                    if may_link(int(n[i]), int(n[j]), held[i][5], held[j][5], num, den):
+                        yield int(min(node[i], node[j])), int(max(node[i], node[j]))
 
     return stream_groups(rows, ["key", "l", "r"], ["side", "node"], pick, "a long, b long").distinct()
 

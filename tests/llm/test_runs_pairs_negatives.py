@@ -239,3 +239,18 @@ def test_bounds_shrink_the_candidates():
         return keep
     negatives.scan(block, np.flatnonzero(block.labels == 0)[1:], a, shrink)
     assert seen[0] < 200
+
+
+def test_parity_bits_pass_every_link():
+    """Sets of all sizes, also beyond MOST_BITS: what links is let through, and unrelated sets are not."""
+    rng = np.random.default_rng(8)
+    for n in (1, 4, 5, 9, 31, 33, 60, 500, 530, 5000, 40_000):
+        for gone, more in ((0, 0), (1, 0), (n // 9, n // 9), (n // 5, 0), (0, n // 4)):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+            both = len(a) - gone
+            if both and 100 * both >= 80 * (len(a) + len(b) - both):
+                assert minhash.may_link(len(a), len(b), minhash.parity_bits(a), minhash.parity_bits(b), 80, 100)
+        c = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        if n > 30 and n < 10_000:
+            assert not minhash.may_link(len(a), len(c), minhash.parity_bits(a), minhash.parity_bits(c), 80, 100)
