@@ -12,6 +12,7 @@ from riskgraph.operators import graph as G
 from riskgraph.operators import linkpred as L
 from riskgraph.operators import metrics as M
 from riskgraph.operators import models as MD
+from riskgraph.operators import sage as SG
 from riskgraph.operators import relational as R
 from riskgraph.plans import sql as S
 from riskgraph.plans.registry import query
@@ -355,31 +356,66 @@ def _sage_inputs(spark, sf):
     return g, feats, cut_lineage(agg.join(tgt, "node_id"))
 
 
+def _sage_split(spark, sf):
+    g, feats, d = _sage_inputs(spark, sf)
+    s = R.stratified_split(d, "label", "entity_id", 0.2, 42)
+    return g, feats, cut_lineage(s.select("node_id", "entity_id", "label", "is_test", "pest_rate", "total_inspections"))
+
+
+def _sage_classes(p):
+    return p.select("entity_id", F.col("prediction").alias("graphsage_predicted_class"),
+                    (1.0 - F.col("score")).alias("graphsage_prob_no_pest"),
+                    F.col("score").alias("graphsage_prob_pest"), F.col("label").alias("actual_pest_class"),
+                    X.risk_band("score", "five").alias("graphsage_risk_category"))
+
+
 @query("graphsage_classify")
 def q_sage_classify(spark, sf):
-    """H-E7 (aggregate-then-learn): 2-hop sampled mean aggregation of [degree,
-    PageRank] features, then an MLP head (64 hidden units, 50 epochs) on a
-    stratified split; class and both probabilities for every entity."""
+    """H-E7 small: mean aggregation, 64 dimensions, 50 epochs, trained through both aggregations on a
+    stratified split of [degree, PageRank] features; class and both probabilities for every entity."""
+    g, feats, s = _sage_split(spark, sf)
+    return _sage_classes(SG.train_classifier(g, feats, s, SG.SMALL, keep=("entity_id",))[1])
+
+
+@query("graphsage_classify_pool")
+def q_sage_classify_pool(spark, sf):
+    """H-E7 medium: max-pooling over a learned layer, 128 dimensions, 100 epochs."""
+    g, feats, s = _sage_split(spark, sf)
+    return _sage_classes(SG.train_classifier(g, feats, s, SG.MEDIUM, keep=("entity_id",))[1])
+
+
+@query("graphsage_classify_simple")
+def q_sage_classify_simple(spark, sf):
+    """H-E7 simple: mean aggregation, 32 dimensions, 20 epochs."""
+    g, feats, s = _sage_split(spark, sf)
+    return _sage_classes(SG.train_classifier(g, feats, s, SG.SIMPLE, keep=("entity_id",))[1])
+
+
+@query("graphsage_aggregate_then_learn")
+def q_sage_aggregate_then_learn(spark, sf):
+    """H-E5 + an MLP head: 2-hop sampled mean features first, then 64 hidden units for 50
+    iterations; the untrained-aggregation counterpart of ``graphsage_classify``."""
     _, _, d = _sage_inputs(spark, sf)
     s = R.stratified_split(d, "label", "entity_id", 0.2, 42)
     m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
     s = MD.apply_scaler(s, m, sd)
     nf = s.select(F.size("features")).first()[0]
-    est = MD.classifier("mlp", nf, layers=[64], maxIter=50)
-    p = MD.fit_score(est, s.where(~F.col("is_test")), s)
-    return p.select("entity_id", F.col("prediction").alias("graphsage_predicted_class"),
-                    (1.0 - F.col("score")).alias("graphsage_prob_no_pest"),
-                    F.col("score").alias("graphsage_prob_pest"), F.col("label").alias("actual_pest_class"),
-                    X.risk_band("score", "five").alias("graphsage_risk_category"))
+    return _sage_classes(MD.fit_score(MD.classifier("mlp", nf, layers=[64], maxIter=50), s.where(~F.col("is_test")), s))
+
+
+@query("graphsage_trained_embeddings")
+def q_sage_trained_embeddings(spark, sf):
+    """H-E6: unsupervised training (co-occurrence loss, 64 dimensions, 20 epochs); an embedding per node."""
+    g, feats, _ = _sage_inputs(spark, sf)
+    return SG.train_embeddings(g, feats)[1]
 
 
 @query("graphsage_feature_table")
 def q_sage_features(spark, sf):
-    """M-P5: untrained GraphSAGE-style embedding (64 dims) per entity with
+    """M-P5: trained GraphSAGE embedding (64 dims) per entity with
     has_pest_ever and pest_rate, in the wide graphsage_dim_i layout."""
-    from riskgraph.operators import embed as EM
     g, feats, d = _sage_inputs(spark, sf)
-    e = EM.graphsage_embeddings(g, feats, 64, (25, 10))
+    e = SG.train_embeddings(g, feats)[1]
     t = d.select("node_id", "entity_id", F.col("label").alias("has_pest_ever"), "pest_rate")
     return X.embedding_to_columns(t.join(e, "node_id"), "embedding", "graphsage_dim_", 64) \
         .withColumnRenamed("node_id", "nodeId")
@@ -406,17 +442,12 @@ def q_read_entity_features(spark, sf):
 
 @query("graphsage_scoring")
 def q_sage_scoring(spark, sf):
-    """M-P4: targets -> aggregated features -> classifier (H-E7) and
-    embeddings (H-E6 forward pass) merged per entity with actuals,
+    """M-P4: targets -> trained classifier (H-E7 small) and trained
+    embeddings (H-E6) merged per entity with actuals,
     inspection count, wide embedding columns and the five-band risk."""
-    from riskgraph.operators import embed as EM
-    g, feats, d = _sage_inputs(spark, sf)
-    s = R.stratified_split(d, "label", "entity_id", 0.2, 42)
-    m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
-    s = MD.apply_scaler(s, m, sd)
-    nf = s.select(F.size("features")).first()[0]
-    p = MD.fit_score(MD.classifier("mlp", nf, layers=[64], maxIter=50), s.where(~F.col("is_test")), s)
-    e = EM.graphsage_embeddings(g, feats, 64, (25, 10))
+    g, feats, s = _sage_split(spark, sf)
+    _, p = SG.train_classifier(g, feats, s, SG.SMALL, keep=("entity_id", "pest_rate", "total_inspections"))
+    _, e = SG.train_embeddings(g, feats)
     out = p.select("node_id", "entity_id", F.col("prediction").alias("graphsage_predicted_class"),
                    (1.0 - F.col("score")).alias("graphsage_prob_no_pest"), F.col("score").alias("graphsage_prob_pest"),
                    F.col("label").alias("actual_pest_class"), F.col("pest_rate").alias("actual_pest_rate"),
