@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from riskgraph.operators import relational as R
 from riskgraph.operators.centrality import Propagator
 from riskgraph.operators.graph import Graph
-from riskgraph.session import cut_lineage
+from riskgraph.session import cut_lineage, ensure_checkpoint_dir
 
 SEED = 42
+BLOCK_NODES = 250_000     # nodes whose vectors one task of node2vec holds
 
 
 def l2_normalize(arr: Column) -> Column:
@@ -113,22 +114,147 @@ def random_walks(g: Graph, length: int = 10, per_node: int = 10, seed: int = SEE
     return out
 
 
-def node2vec(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = SEED,
-             partitions: int | None = None) -> DataFrame:
-    """H-E3: skip-gram (Spark ML ``Word2Vec``) over the walks.  Each walk is
-    at most ``length`` nodes, so ``collect_list`` per walk is bounded.
-    Training runs on ``partitions`` tasks (default: the session's
-    parallelism), never on one; Spark ML merges the per-partition updates.
-    Spark's Word2Vec keeps the vocabulary (one entry per node) on the driver."""
-    from pyspark.ml.feature import Word2Vec
-    partitions = partitions or walks.sparkSession.sparkContext.defaultParallelism
+def walk_pairs(walks: DataFrame, window: int) -> DataFrame:
+    """``centre, context, n``: how often two nodes stand within ``window`` steps of a walk.
+    A walk is at most ``length`` nodes, so ``collect_list`` per walk is bounded."""
     seqs = walks.groupBy("walk_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("step", "node_id"))), lambda s: s["node_id"]).alias("walk"))
-    w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, inputCol="walk",
-                   outputCol="_o", numPartitions=partitions, maxIter=1)
-    model = w2v.fit(seqs)
-    return model.getVectors().select(F.col("word").alias("node_id"),
-                                     vector_to_array(F.col("vector")).alias("embedding"))
+        F.transform(F.array_sort(F.collect_list(F.struct("step", "node_id"))), lambda s: s["node_id"]).alias("w"))
+    at = seqs.select("w", F.posexplode("w").alias("i", "centre"))
+    lo = F.greatest(F.col("i") - F.lit(window), F.lit(0))
+    near = at.select("centre", "i", lo.alias("lo"), F.expr(f"slice(w, greatest(i - {window}, 0) + 1, least(i, {window}) + 1 + {window})").alias("near"))
+    out = near.select("centre", "i", "lo", F.posexplode("near").alias("j", "context")).where("lo + j <> i")
+    return out.groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _start_vectors(visits: DataFrame, dim: int, seed: int) -> DataFrame:
+    """``kind, node, freq, block, vec``: kind 0 centre vectors, drawn from md5(seed:node), kind 1 context vectors, zero."""
+    import numpy as np
+    import pyarrow as pa
+    schema = "kind int, node string, freq long, block int, vec array<float>"
+
+    def run(batches):
+        for b in batches:
+            node, freq, block, salt = b.columns
+            drawn = [((np.random.default_rng(int(s, 16)).random(dim) - 0.5) / dim).astype(np.float32) for s in salt.to_pylist()]
+            for kind, vec in ((0, drawn), (1, [np.zeros(dim, np.float32)] * len(drawn))):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(drawn), pa.int32()), node, freq, block, pa.array(vec, pa.list_(pa.float32()))],
+                                                 names=["kind", "node", "freq", "block", "vec"])
+    salt = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("node"))), 1, 15)
+    return visits.select("node", "freq", "block", salt.alias("salt")).mapInArrow(run, schema)
+
+
+def _skip_gram(rate: float, negatives: int, seed: int, turn: int, batch: int):
+    """Task of one turn: a block of centre vectors, a block of context vectors and the pairs between
+    them arrive in this order; pairs update both, the vectors go out again."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        task, state = None, None
+
+        class Blocks:
+            def __init__(self, number):
+                self.number, self.rng = number, np.random.default_rng([seed, turn, number])
+                self.nodes, self.freq, self.raw, self.block = ([], []), ([], []), ([], []), [None, None]
+                self.ready = False
+
+            def get_ready(self):
+                self.vec = [np.array(r, np.float32) for r in self.raw]
+                self.at = [{n: i for i, n in enumerate(ns)} for ns in self.nodes]
+                share = np.cumsum(np.array(self.freq[1], np.float64) ** 0.75)
+                self.share = share / share[-1] if len(share) else share
+                self.ready = True
+
+            def learn(self, centre, context, n):
+                if not self.ready:
+                    self.get_ready()
+                c = np.repeat([self.at[0][x] for x in centre], n)
+                o = np.repeat([self.at[1][x] for x in context], n)
+                mixed = self.rng.permutation(len(c))
+                into, out = self.vec
+                for k in range(0, len(c), batch):
+                    i, j = c[mixed[k:k + batch]], o[mixed[k:k + batch]]
+                    neg = np.searchsorted(self.share, self.rng.random((len(i), negatives)), "right")
+                    js = np.concatenate([j[:, None], np.minimum(neg, len(out) - 1)], axis=1)
+                    v, u = into[i], out[js]
+                    pull = rate * (1.0 / (1.0 + np.exp(np.clip(-np.einsum("md,mkd->mk", v, u), -30, 30))))
+                    pull[:, 0] -= rate
+                    np.add.at(into, i, -np.einsum("mk,mkd->md", pull, u))
+                    np.add.at(out, js, -pull[:, :, None] * v[:, None, :])
+
+            def rows(self):
+                if not self.ready:
+                    self.get_ready()
+                for kind in (0, 1):
+                    for at in range(0, len(self.nodes[kind]), 10_000):
+                        part = slice(at, at + 10_000)
+                        n = len(self.nodes[kind][part])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([kind] * n, pa.int32()), pa.array(self.nodes[kind][part]), pa.array(self.freq[kind][part], pa.int64()),
+                             pa.array([self.block[kind]] * n, pa.int32()), pa.array(list(self.vec[kind][part]), pa.list_(pa.float32()))],
+                            names=["kind", "node", "freq", "block", "vec"])
+
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            at = 0
+            while at < b.num_rows:
+                t, kind = cols[0][at], cols[1][at]
+                stop = at
+                while stop < b.num_rows and cols[0][stop] == t and cols[1][stop] == kind:
+                    stop += 1
+                if t != task:
+                    if state is not None:
+                        yield from state.rows()
+                    task, state = t, Blocks(t)
+                part = slice(at, stop)
+                if kind < 2:
+                    state.nodes[kind].extend(cols[2][part])
+                    state.freq[kind].extend(cols[4][part])
+                    state.raw[kind].extend(cols[6][part])
+                    state.block[kind] = cols[5][at]
+                else:
+                    state.learn(cols[2][part], cols[3][part], cols[4][part])
+                at = stop
+        if state is not None:
+            yield from state.rows()
+    return run
+
+
+def node2vec(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = SEED, blocks: int | None = None,
+             epochs: int = 1, rate: float = 0.025, negatives: int = 5, batch: int = 256) -> DataFrame:
+    """H-E3: skip-gram with negative sampling over the walks, ``node_id, embedding``.
+
+    Nodes are dealt into ``blocks`` by hash, each with its centre and its context vectors.
+    An epoch has a turn for each block: in turn r, task b holds the centre vectors of block b and the
+    context vectors of block b + r and learns from the pairs between them, so all blocks learn
+    at once and no two tasks touch one block.  Negatives come from the context block at hand (by
+    frequency ^ 0.75); over the turns each node meets all blocks.  A task holds two blocks
+    (``BLOCK_NODES`` nodes each, unless ``blocks`` is given) and streams its pairs; nothing of the
+    size of the nodes is on the driver.  Pairs are counted before they are shuffled, and a table by turn
+    lets each turn read its own.  Reruns are equal up to the order of equal pairs' batches, which is fixed by sorting."""
+    import uuid
+    spark = walks.sparkSession
+    visits = cut_lineage(walks.groupBy(F.col("node_id").alias("node")).agg(F.count(F.lit(1)).alias("freq")))
+    blocks = blocks or max(8, -(-visits.count() // BLOCK_NODES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    vectors = cut_lineage(_start_vectors(visits.withColumn("block", block("node")), dim, seed))
+    pairs = walk_pairs(walks, window).withColumns({"task": block("centre"), "ob": block("context")})
+    pairs = pairs.withColumn("turn", F.pmod(F.col("ob") - F.col("task"), F.lit(blocks)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairs-{uuid.uuid4().hex}"
+    pairs.repartition("turn", "task").write.partitionBy("turn").parquet(path)
+    pairs = spark.read.schema("centre string, context string, n long, task int, ob int, turn int").parquet(path)
+    cols = ["task", "kind", "node", "context", "n", "block", "vec"]
+    for turn in range(epochs * blocks):
+        r = turn % blocks
+        task = F.when(F.col("kind") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - F.lit(r), F.lit(blocks)))
+        held = vectors.select(task.cast("int").alias("task"), "kind", "node", F.lit("").alias("context"), F.col("freq").alias("n"), "block", "vec")
+        met = pairs.where(F.col("turn") == r).select("task", F.lit(2).alias("kind"), F.col("centre").alias("node"), "context", "n",
+                                                     F.lit(None).cast("int").alias("block"), F.lit(None).cast("array<float>").alias("vec"))
+        rows = held.select(*cols).unionByName(met.select(*cols))
+        rows = rows.withColumn("_o", F.md5(F.concat_ws(":", "node", "context"))).repartition(blocks, "task").sortWithinPartitions("task", "kind", "_o")
+        step = _skip_gram(rate * (1.0 - turn / (epochs * blocks + 1.0)), negatives, seed, turn, batch)
+        vectors = cut_lineage(rows.select(*cols).mapInArrow(step, "kind int, node string, freq long, block int, vec array<float>"))
+    return vectors.where("kind = 0").select(F.col("node").alias("node_id"), F.col("vec").cast("array<double>").alias("embedding"))
 
 
 def sample_neighbors(g: Graph, k: int, seed: int = SEED, hop: int = 1) -> DataFrame:
