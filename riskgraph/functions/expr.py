@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskgraph.operators.quantiles import column_quantiles
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (band edges, labels, weights).
 # ---------------------------------------------------------------------------
@@ -105,16 +107,16 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return out
 
 
-def fill_median(df: DataFrame, cols: Sequence[str], fitted: DataFrame | None = None) -> DataFrame:
-    """B-P10: NULL -> exact column median (``percentile(x, .5)``) computed in
-    one aggregate pass; the one-row result is a scalar per column."""
-    stats = fitted if fitted is not None else median_values(df, cols)
-    row = stats.first()
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c]).cast(dict(df.dtypes)[c])) for c in cols})
+def fill_median(df: DataFrame, cols: Sequence[str], fitted: Mapping[str, float] | None = None) -> DataFrame:
+    """B-P10: NULL -> exact column median, all columns in one distributed job
+    (``operators.quantiles``); a column without any value stays NULL."""
+    medians = fitted if fitted is not None else median_values(df, cols)
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c]).cast(types[c])) for c in cols if c in medians})
 
 
-def median_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.median(F.col(c)).alias(c) for c in cols])
+def median_values(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    return {c: q[0] for c, q in column_quantiles(df, cols, [0.5]).items()}
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:

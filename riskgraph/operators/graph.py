@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.functions import expr as X
+from riskgraph.operators.quantiles import exact_quantiles
+from riskgraph.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Fixed values of the data model (labels, id prefixes, relationship types).
@@ -205,17 +207,13 @@ def density(g: Graph) -> DataFrame:
     return spark.createDataFrame([(int(nn), int(mm), float(d))], "n_nodes long, n_edges long, density double")
 
 
-def degree_distribution(g: Graph, exact: bool = True) -> DataFrame:
-    """C-A12: min, mean, max and percentiles of out-degree (isolated = 0).
-    ``exact`` uses ``percentile`` (exact, holds the values per group);
-    at scale pass ``exact=False`` for ``percentile_approx``."""
-    d = degrees(g, "out")
+def degree_distribution(g: Graph) -> DataFrame:
+    """C-A12: min, mean, max and exact percentiles of out-degree (isolated = 0)."""
     qs = [0.5, 0.75, 0.9, 0.95, 0.99]
-    if exact:
-        pct = [F.percentile(F.col("degree").cast("double"), q).alias(f"p{int(q * 100)}") for q in qs]
-    else:
-        pct = [F.percentile_approx("degree", q, 10000).cast("double").alias(f"p{int(q * 100)}") for q in qs]
-    return d.agg(F.min("degree").alias("min"), F.avg("degree").alias("mean"),
+    d = cut_lineage(degrees(g, "out").groupBy("degree").agg(F.count(F.lit(1)).alias("nodes")))       # a row per different degree
+    found = exact_quantiles(d.select(F.lit("degree").alias("dim"), F.col("degree").alias("x"), F.col("nodes").alias("n")), qs).first()
+    pct = [F.lit(v).cast("double").alias(f"p{int(q * 100)}") for q, v in zip(qs, found["q"] if found else [None] * len(qs))]
+    return d.agg(F.min("degree").alias("min"), (F.sum(F.col("degree") * F.col("nodes")) / F.sum("nodes")).alias("mean"),
                  F.max("degree").alias("max"), *pct)
 
 

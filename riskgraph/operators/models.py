@@ -5,6 +5,7 @@ pass (d scalars); every fit is a distributed Spark ML job."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from riskgraph.functions import expr as X
 from riskgraph.operators import metrics as M
 from riskgraph.operators import relational as R
+from riskgraph.operators.quantiles import position_quantiles
 from riskgraph.session import cut_lineage
 
 SEED = 42
@@ -31,18 +33,18 @@ SEED = 42
 # M-F scalers (exact, fitted on training rows only)
 # ---------------------------------------------------------------------------
 def fit_standard_scaler(train: DataFrame, col: str = "features") -> tuple[list[float], list[float]]:
-    """M-F1: per-position mean and population std (sklearn semantics)."""
-    long = train.select(F.posexplode(col).alias("i", "x"))
-    rows = long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
-    return [r["m"] for r in rows], [r["s"] if r["s"] else 1.0 for r in rows]
+    """M-F1: per-position mean and population std (sklearn semantics); vectors stay whole."""
+    found = train.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(col)).alias("s")).select("s.*").first()
+    if not found or not found["count"]:
+        return [], []
+    n = found["count"]
+    return found["mean"].tolist(), [math.sqrt(v * (n - 1) / n) or 1.0 for v in found["variance"]]
 
 
 def fit_robust_scaler(train: DataFrame, col: str = "features") -> tuple[list[float], list[float]]:
-    """M-F2: per-position median and inter-quartile range (exact percentiles)."""
-    long = train.select(F.posexplode(col).alias("i", "x"))
-    rows = long.groupBy("i").agg(F.percentile("x", 0.5).alias("m"),
-                                 (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("s")).orderBy("i").collect()
-    return [r["m"] for r in rows], [r["s"] if r["s"] else 1.0 for r in rows]
+    """M-F2: per-position median and inter-quartile range (exact, all positions in one distributed job)."""
+    q = [x for _, x in sorted(position_quantiles(train, col, [0.25, 0.5, 0.75]).items())]
+    return [m for _, m, _ in q], [(hi - lo) or 1.0 for lo, _, hi in q]
 
 
 def apply_scaler(df: DataFrame, center: Sequence[float], scale: Sequence[float], col: str = "features",

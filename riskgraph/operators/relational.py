@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,14 +168,11 @@ def confusion_matrix(df: DataFrame, y: str = "label", yhat: str = "prediction")
 def mean_embedding(df: DataFrame, col: str = "embedding", by: Sequence[str] = ()) -> DataFrame:
     """C-A13: element-wise mean of complete vectors (optionally per group).
 
-    Vectors are summed as arrays with a fixed-length ``aggregate``-free
-    formulation: explode positions, ``avg`` per (group, pos), re-assemble
-    ordered by position.  Rows with a missing element are skipped."""
+    Vectors stay whole: one partial sum vector per group and map task.
+    Rows with a missing element are skipped; without rows there is no mean vector."""
     ok = df.where(~X.has_missing(col))
-    long = ok.select(*by, F.posexplode(col).alias("pos", "x"))
-    per = long.groupBy(*by, "pos").agg(F.avg("x").alias("m"))
-    return per.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias(col))
+    per = ok.groupBy(*by).agg(Summarizer.mean(array_to_vector(F.col(col).cast("array<double>"))).alias("m"), F.count(F.lit(1)).alias("n"))
+    return per.where("n > 0").select(*by, vector_to_array("m").alias(col))
 
 
 def category_mean_embedding(df: DataFrame, keys: DataFrame, cat: str, col: str = "embedding") -> DataFrame:

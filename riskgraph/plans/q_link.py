@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskgraph.functions import expr as X
 from riskgraph.operators import graph as G
 from riskgraph.operators import linkpred as L
 from riskgraph.operators import relational as R
@@ -145,14 +146,15 @@ def q_link_heuristics(spark, sf):
 
 @query("max_normalize", sql=_HEUR + """SELECT entity_node_id, pest_node_id,
   CASE WHEN maa > 0 THEN adamic_adar_score / maa ELSE 0.0 END AS adamic_adar_score_normalized,
+  CASE WHEN mj > 0 THEN jaccard_score / mj ELSE 0.0 END AS jaccard_score_normalized,
+  CASE WHEN mcn > 0 THEN common_neighbors_count / mcn ELSE 0.0 END AS common_neighbors_count_normalized,
   CASE WHEN mpa > 0 THEN preferential_attachment_score / mpa ELSE 0.0 END AS preferential_attachment_score_normalized
 FROM scored CROSS JOIN mx""")
 def q_max_normalize(spark, sf):
-    """B-P17: score / max(score) over all pairs."""
-    s = _scores(spark, sf)
-    n = R.max_normalize(s, ["adamic_adar_score", "preferential_attachment_score"])
-    return n.select("entity_node_id", "pest_node_id", "adamic_adar_score_normalized",
-                    "preferential_attachment_score_normalized")
+    """B-P17: each of the four scores / its max over all pairs."""
+    cols = list(X.COMPOSITE_WEIGHTS)
+    n = R.max_normalize(_scores(spark, sf), cols)
+    return n.select("entity_node_id", "pest_node_id", *[f"{c}_normalized" for c in cols])
 
 
 @query("filter_pest_candidates", sql=_LINK_BASE + "SELECT entity_id, pest_node_id FROM pairs WHERE pest_value = 1")

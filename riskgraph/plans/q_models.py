@@ -421,23 +421,31 @@ def q_sage_features(spark, sf):
         .withColumnRenamed("node_id", "nodeId")
 
 
-@query("read_entity_features")
+_DIMS = [f"graphsage_dim_{i}" for i in range(64)]
+_ENTITY_FEATURES = """
+WITH wide AS (
+  SELECT vec_id AS entity_id, CASE WHEN vec_id % 23 = 0 THEN NULL ELSE CAST(label >= 5 AS INTEGER) END AS y, """ + ", ".join(
+    f"CASE WHEN (vec_id + {i}) % 17 = 0 THEN NULL ELSE CAST(embedding[{i + 1}] AS DOUBLE) END AS {c}" for i, c in enumerate(_DIMS)) + """
+  FROM embeddings),
+known AS (SELECT * FROM wide WHERE y IS NOT NULL),
+med AS (SELECT """ + ", ".join(f"median({c}) AS m_{c}" for c in _DIMS) + """ FROM known)
+SELECT entity_id, """ + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _DIMS) + ", y AS label FROM known CROSS JOIN med"
+
+
+@query("read_entity_features", sql=_ENTITY_FEATURES)
 def q_read_entity_features(spark, sf):
-    """A-S3 + B-P10 + B-P11: feature table with missing targets and features
-    (blanked by the FIXTURES §4 rule), rows without a target dropped,
-    binary target, metadata columns excluded, missing features median-filled."""
+    """A-S3 + B-P10 + B-P11: wide feature table in which every 23rd target and, in each of the 64 columns,
+    every 17th feature is missing; rows without a target dropped, binary
+    target, metadata columns excluded, missing features median-filled."""
     from riskgraph.sources import tables as TB
-    from riskgraph.operators import embed as EM
-    g, feats, d = _sage_inputs(spark, sf)
-    e = EM.graphsage_embeddings(g, feats, 64, (25, 10))
-    base = d.select("node_id", "entity_id", "label", "pest_rate").join(e, "node_id")
-    wide = X.embedding_to_columns(base, "embedding", "graphsage_dim_", 64)
+    v = FX.embedding_vectors(spark, sf)
+    wide = X.embedding_to_columns(v, "features", "graphsage_dim_", 64)
     wide = wide.withColumns({
         "has_pest_ever": F.when(F.col("entity_id") % 23 == 0, F.lit(None)).otherwise(F.col("label")),
-        "graphsage_dim_0": F.when(F.col("entity_id") % 17 == 0, F.lit(None)).otherwise(F.col("graphsage_dim_0")),
-    }).drop("label").withColumnRenamed("node_id", "nodeId")
-    r = TB.read_entity_features(wide, "has_pest_ever")
-    return X.fill_median(r, ["graphsage_dim_0"])
+        "nodeId": F.concat(F.lit("E:"), F.col("entity_id").cast("string")), "pest_rate": F.col("label").cast("double"),
+        **{c: F.when((F.col("entity_id") + i) % 17 == 0, F.lit(None)).otherwise(F.col(c)) for i, c in enumerate(_DIMS)},
+    }).drop("label")
+    return X.fill_median(TB.read_entity_features(wide, "has_pest_ever"), _DIMS)
 
 
 @query("graphsage_scoring")

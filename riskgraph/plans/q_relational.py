@@ -159,19 +159,26 @@ def q_missing_counts(spark, sf):
     return R.missing_counts(FX.cold_start_table(spark, sf))
 
 
-@query("fill_median", sql=S.with_(_COLD) + """,
-med AS (SELECT median(fastrp_0) AS m0, median(fastrp_1) AS m1 FROM cold)
-SELECT enty_id, coalesce(fastrp_0, m0) AS fastrp_0, coalesce(fastrp_1, m1) AS fastrp_1 FROM cold CROSS JOIN med""")
+_FASTRP = [f"fastrp_{i}" for i in range(64)]
+_FILLABLE = ["feature_1", "feature_2", *_FASTRP]
+
+
+@query("fill_median", sql=S.with_(_COLD) + ",\nmed AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in _FILLABLE) + " FROM cold)\nSELECT enty_id, "
+       + ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in _FILLABLE) + " FROM cold CROSS JOIN med")
 def q_fill_median(spark, sf):
-    """B-P10: missing values replaced by the exact column median."""
-    c = FX.cold_start_table(spark, sf).select("enty_id", "fastrp_0", "fastrp_1")
-    return X.fill_median(c, ["fastrp_0", "fastrp_1"])
+    """B-P10: missing values of all numeric columns replaced by the exact column median."""
+    c = FX.cold_start_table(spark, sf).select("enty_id", *[F.col(c).cast("double").alias(c) for c in _FILLABLE])
+    return X.fill_median(c, _FILLABLE)
+
+
+_COLD_COLS = ["enty_id", "category", "feature_1", "feature_2", "feature_3", *_FASTRP]
 
 
-@query("drop_null_rows", sql=S.with_(_COLD) + "SELECT enty_id, category FROM cold WHERE fastrp_0 IS NOT NULL")
+@query("drop_null_rows", sql=S.with_(_COLD) + f"SELECT {', '.join(_COLD_COLS)} FROM cold WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _COLD_COLS))
 def q_drop_null(spark, sf):
-    """B-P11: rows with a NULL in the given columns dropped."""
-    return X.drop_null_rows(FX.cold_start_table(spark, sf), ["fastrp_0"]).select("enty_id", "category")
+    """B-P11: rows with a NULL in any column dropped."""
+    c = FX.cold_start_table(spark, sf).select(*_COLD_COLS)
+    return X.drop_null_rows(c, _COLD_COLS)
 
 
 @query("split_by_missing", sql=S.with_(_COLD) + """
