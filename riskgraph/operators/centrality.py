@@ -2,13 +2,12 @@
 
 Message passing (:class:`Propagator`) is the core: values sit on nodes,
 each turn every edge carries its source's value to its destination, and
-the destination aggregates (sum / min / max).  Edges are split once by
-source degree: sources with more than ``T`` out-edges - there are at most
-2m / T of them, so their value table has a proven size bound - send
-through a broadcast hash join; all other edges use a shuffle join whose
-keys are all light.  The receiving side is a ``groupBy`` with partial
-aggregation, so a hub destination costs one row per map task.  State is
-checkpointed (reliable, in ``spark.checkpoint.dir``) every few turns.
+the destination aggregates (sum / min / max).  Edges are laid out once,
+bucketed by source with hot sources salted (``operators.spread``), so a
+turn moves values and partial sums but no edge.  The receiving side is a
+``groupBy`` with partial aggregation, so a hub destination costs one row
+per map task.  State is checkpointed (reliable, in
+``spark.checkpoint.dir``) every few turns.
 """
 
 from __future__ import annotations
@@ -17,34 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.operators.graph import Graph
+from riskgraph.operators.spread import MAX_HUBS, ROWS, Layout
 from riskgraph.session import Loop, cut_lineage
 
 DAMPING = 0.85
 ITERATIONS = 20
-MAX_BROADCAST_HUBS = 50_000
-MIN_HUB_DEGREE = 100_000  # below this a single key is not a skew problem for one task
 
 
 class Propagator:
-    """Edges (src, dst, w) split into hub-source and light-source parts."""
-
-    def __init__(self, edges: DataFrame, max_hubs: int = MAX_BROADCAST_HUBS,
-                 min_hub_degree: int = MIN_HUB_DEGREE):
-        e = edges.select("src", "dst", F.col("w").cast("double").alias("w")) if "w" in edges.columns \
-            else edges.select("src", "dst", F.lit(1.0).alias("w"))
-        e = cut_lineage(e)
-        self.m = e.count()
-        self.threshold = max(min_hub_degree, (2 * self.m) // max_hubs)
-        outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("_od"))
-        # |hubs| <= m / threshold <= max_hubs / 2: a bounded broadcast
-        self.hubs = outdeg.where(F.col("_od") > self.threshold).select("src")
-        self.n_hubs = 0 if self.m <= self.threshold else self.hubs.count()
-        if self.n_hubs:
-            self.hubs = cut_lineage(self.hubs)
-            self.hub_edges = cut_lineage(e.join(F.broadcast(self.hubs), "src"))
-            self.light_edges = cut_lineage(e.join(F.broadcast(self.hubs), "src", "left_anti"))
-        else:
-            self.hub_edges, self.light_edges = None, e
+    """Messages along edges (src, dst, w) that stay where they are (:class:`Layout`)."""
+
+    def __init__(self, edges: DataFrame, max_hubs: int = MAX_HUBS, rows: int = ROWS):
+        self.layout = Layout(edges, rows, max_hubs)
+        self.n_hubs = self.layout.spread.n_hubs
 
     def push(self, values: DataFrame, cols: list[str], agg: str = "sum",
              weighted: bool = True, every_node: DataFrame | None = None) -> DataFrame:
@@ -52,22 +36,14 @@ class Propagator:
         With ``every_node`` (node_id) each listed node also receives a
         neutral message (0 for sum), so nodes without in-edges get a row from
         the same aggregation instead of a separate left join."""
-        v = values.select(F.col("node_id").alias("src"), *cols)
         fn = {"sum": F.sum, "min": F.min, "max": F.max}[agg]
-        parts = [self.light_edges.join(v, "src")]
-        if self.hub_edges is not None:
-            hv = v.join(F.broadcast(self.hubs), "src")
-            parts.append(self.hub_edges.join(F.broadcast(hv), "src"))
-        msgs = [p.select(F.col("dst"), *[(F.col(c) * F.col("w") if weighted else F.col(c)).alias(c)
-                                         for c in cols]) for p in parts]
+        msgs = self.layout.join(values.select("node_id", *cols)).select(
+            F.col("dst"), *[(F.col(c) * F.col("w") if weighted else F.col(c)).alias(c) for c in cols])
         if every_node is not None:
             if agg != "sum":
                 raise ValueError("every_node needs agg='sum'")
-            msgs.append(every_node.select(F.col("node_id").alias("dst"), *[F.lit(0.0).alias(c) for c in cols]))
-        allm = msgs[0]
-        for m in msgs[1:]:
-            allm = allm.unionByName(m)
-        return allm.groupBy(F.col("dst").alias("node_id")).agg(*[fn(F.col(c)).alias(c) for c in cols])
+            msgs = msgs.unionByName(every_node.select(F.col("node_id").alias("dst"), *[F.lit(0.0).alias(c) for c in cols]))
+        return msgs.groupBy(F.col("dst").alias("node_id")).agg(*[fn(F.col(c)).alias(c) for c in cols])
 
 
 def out_degree(g: Graph) -> DataFrame:

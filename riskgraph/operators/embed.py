@@ -2,8 +2,8 @@
 
 Vectors stay whole as ``array<double>`` (ML ``Vector`` only inside the
 aggregations); neighbour means use ``Summarizer.mean`` grouped by the
-receiving node (partial aggregation).  Sources with very many out-edges
-send their vectors through a bounded broadcast (see ``Propagator``).
+receiving node (partial aggregation).  Edges stay in place and hot
+sources are salted (see ``Propagator``).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from riskgraph.operators import relational as R
 from riskgraph.operators.centrality import Propagator
 from riskgraph.operators.graph import Graph
+from riskgraph.operators.spread import Spread
 from riskgraph.session import cut_lineage, ensure_checkpoint_dir
 
 SEED = 42
@@ -39,12 +40,7 @@ def add(a: Column, b: Column) -> Column:
 
 def _mean_vectors(prop: Propagator, values: DataFrame, col: str) -> DataFrame:
     """Per destination, element-wise mean of the sources' vectors."""
-    v = values.select(F.col("node_id").alias("src"), array_to_vector(F.col(col)).alias("_v"))
-    parts = [prop.light_edges.join(v, "src")]
-    if prop.hub_edges is not None:
-        hv = v.join(F.broadcast(prop.hubs), "src")
-        parts.append(prop.hub_edges.join(F.broadcast(hv), "src"))
-    msgs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    msgs = prop.layout.join(values.select("node_id", array_to_vector(F.col(col)).alias("_v")))
     return msgs.groupBy(F.col("dst").alias("node_id")).agg(
         vector_to_array(Summarizer.mean(F.col("_v"))).alias(col))
 
@@ -93,7 +89,8 @@ def random_walks(g: Graph, length: int = 10, per_node: int = 10, seed: int = SEE
     per step on (node, idx), so walkers at a hub spread over its
     neighbours.  Rows: walk_id, step, node_id (a walk stops at a dead end)."""
     adj = indexed_adjacency(g)
-    deg = adj.select("node", "deg").distinct()
+    deg = cut_lineage(adj.select(F.col("node").alias("node_id"), "deg").distinct())
+    spread = Spread(adj, "node", factor=per_node)     # walkers stand on nodes about as often as edges end there
     starts = g.nodes.select(F.col("node_id").alias("start")) \
         .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
     cur = starts.select(F.concat_ws("#", "start", F.col("r").cast("string")).alias("walk_id"),
@@ -101,7 +98,7 @@ def random_walks(g: Graph, length: int = 10, per_node: int = 10, seed: int = SEE
     cur = cut_lineage(cur)
     steps = [cur]
     for s in range(1, length):
-        c = cur.join(deg.withColumnRenamed("node", "node_id"), "node_id")
+        c = spread.join(cur, deg, "node_id", ["walk_id"])
         pick = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("walk_id"), F.lit(f":{s}"))), 1, 12),
                              16, 10).cast("long"), F.col("deg"))
         c = c.withColumn("idx", pick).join(adj.select(F.col("node").alias("node_id"), "idx", "nbr"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskgraph.functions import expr as X
 from riskgraph.operators import graph as G
 from riskgraph.operators import relational as R
+from riskgraph.operators.spread import Spread
 from riskgraph.session import cut_lineage
 
 OUTCOMES = (0, 1)  # fixed by the data model: without and with a pest case
@@ -45,9 +46,10 @@ def pair_scores(adj: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b",
     into = adj.select(F.col("node").alias("_z"), F.col("nbr").alias(b))
     if b_nodes is not None:
         into = into.join(F.broadcast(b_nodes), b)
-    shared = expand.join(into, on=["_z", b], how="left_semi")
-    dz = deg.select(F.col("node").alias("_z"), F.col("deg").alias("_dz"))
-    agg = shared.join(dz, "_z").groupBy(a, b).agg(
+    # degrees go to the few rows of ``into``; a shared node may be a hub, so its rows are salted
+    into = into.distinct().join(deg.select(F.col("node").alias("_z"), F.col("deg").alias("_dz")), "_z")
+    shared = Spread(adj, "node").join(expand, into, "_z", [a], on=[b])
+    agg = shared.groupBy(a, b).agg(
         F.count(F.lit(1)).alias("common_neighbors_count"),
         F.sum(F.when(F.col("_dz") > 1, 1.0 / F.log(F.col("_dz"))).otherwise(0.0)).alias("adamic_adar_score"))
     da = deg.select(F.col("node").alias(a), F.col("deg").alias("_da"))
@@ -161,7 +163,7 @@ def entity_pest_affinity(g: G.Graph, pest_entities: DataFrame, entity_label: str
     per_z = per_z.join(deg.select(F.col("node").alias("z"), F.col("deg").alias("_dz")), "z")
     e_adj = adj.join(ents, "node", "left_semi").withColumnRenamed("nbr", "z")
     is_p = pset.select(F.col("nbr").alias("node"), F.col("_p").alias("_self"))
-    j = e_adj.join(per_z, "z").join(is_p, "node", "left") \
+    j = Spread(adj, "node").join(e_adj, per_z, "z", ["node"]).join(is_p, "node", "left") \
         .withColumn("_terms", F.col("_pz") - F.coalesce(F.col("_self"), F.lit(0)))
     agg = j.groupBy("node").agg(
         F.sum("_terms").cast("long").alias("cn_pest"),

@@ -71,13 +71,13 @@ def test_auc_one_class_is_null(spark):
 
 
 def test_propagator_hub_path_matches_plain(spark):
-    """Hub sources go through the broadcast branch; results must not change."""
+    """Hub sources are salted; results must not change."""
     from riskgraph.operators.centrality import Propagator
     edges = [("h", f"l{i}") for i in range(50)] + [(f"l{i}", "h") for i in range(50)] + [("l1", "l2"), ("l2", "l1")]
     e = spark.createDataFrame(edges, "src string, dst string")
     vals = spark.createDataFrame([("h", 2.0)] + [(f"l{i}", float(i)) for i in range(50)], "node_id string, x double")
     plain = Propagator(e)
-    split = Propagator(e, max_hubs=10, min_hub_degree=5)
+    split = Propagator(e, max_hubs=1000, rows=5)
     assert plain.n_hubs == 0 and split.n_hubs == 1
     for agg in ("sum", "min", "max"):
         a = {r["node_id"]: r["x"] for r in plain.push(vals, ["x"], agg=agg).collect()}
