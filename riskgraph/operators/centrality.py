@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.operators.graph import Graph
-from riskgraph.operators.spread import MAX_HUBS, ROWS, Layout
+from riskgraph.operators.spread import Layout
 from riskgraph.session import Loop, cut_lineage
 
 DAMPING = 0.85
@@ -26,8 +26,8 @@ ITERATIONS = 20
 class Propagator:
     """Messages along edges (src, dst, w) that stay where they are (:class:`Layout`)."""
 
-    def __init__(self, edges: DataFrame, max_hubs: int = MAX_HUBS, rows: int = ROWS):
-        self.layout = Layout(edges, rows, max_hubs)
+    def __init__(self, edges: DataFrame, rows: int | None = None):
+        self.layout = Layout(edges, rows)
         self.n_hubs = self.layout.spread.n_hubs
 
     def push(self, values: DataFrame, cols: list[str], agg: str = "sum",

@@ -90,7 +90,7 @@ def random_walks(g: Graph, length: int = 10, per_node: int = 10, seed: int = SEE
     neighbours.  Rows: walk_id, step, node_id (a walk stops at a dead end)."""
     adj = indexed_adjacency(g)
     deg = cut_lineage(adj.select(F.col("node").alias("node_id"), "deg").distinct())
-    spread = Spread(adj, "node", factor=per_node)     # walkers stand on nodes about as often as edges end there
+    spread = Spread(adj, "node_id", factor=per_node, counts=deg.withColumnRenamed("deg", "n"))     # walkers stand on nodes about as often as edges end there
     starts = g.nodes.select(F.col("node_id").alias("start")) \
         .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
     cur = starts.select(F.concat_ws("#", "start", F.col("r").cast("string")).alias("walk_id"),

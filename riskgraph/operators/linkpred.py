@@ -40,7 +40,7 @@ def pair_scores(adj: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b",
     ``b_nodes`` (column ``b``): all values of ``b`` if they are a few known nodes.
     Then only edges into them are looked at, and their degrees are a table of as many rows.
     """
-    deg = deg if deg is not None else node_degrees(adj)
+    deg = deg if deg is not None else cut_lineage(node_degrees(adj))      # read four times
     keys = pairs.select(a, b)
     expand = keys.join(adj.select(F.col("node").alias(a), F.col("nbr").alias("_z")), on=a)
     into = adj.select(F.col("node").alias("_z"), F.col("nbr").alias(b))
@@ -48,7 +48,7 @@ def pair_scores(adj: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b",
         into = into.join(F.broadcast(b_nodes), b)
     # degrees go to the few rows of ``into``; a shared node may be a hub, so its rows are salted
     into = into.distinct().join(deg.select(F.col("node").alias("_z"), F.col("deg").alias("_dz")), "_z")
-    shared = Spread(adj, "node").join(expand, into, "_z", [a], on=[b])
+    shared = Spread(adj, "node", counts=deg.withColumnRenamed("deg", "n")).join(expand, into, "_z", [a], on=[b])
     agg = shared.groupBy(a, b).agg(
         F.count(F.lit(1)).alias("common_neighbors_count"),
         F.sum(F.when(F.col("_dz") > 1, 1.0 / F.log(F.col("_dz"))).otherwise(0.0)).alias("adamic_adar_score"))
@@ -163,7 +163,7 @@ def entity_pest_affinity(g: G.Graph, pest_entities: DataFrame, entity_label: str
     per_z = per_z.join(deg.select(F.col("node").alias("z"), F.col("deg").alias("_dz")), "z")
     e_adj = adj.join(ents, "node", "left_semi").withColumnRenamed("nbr", "z")
     is_p = pset.select(F.col("nbr").alias("node"), F.col("_p").alias("_self"))
-    j = Spread(adj, "node").join(e_adj, per_z, "z", ["node"]).join(is_p, "node", "left") \
+    j = Spread(adj, "node", counts=deg.withColumnRenamed("deg", "n")).join(e_adj, per_z, "z", ["node"]).join(is_p, "node", "left") \
         .withColumn("_terms", F.col("_pz") - F.coalesce(F.col("_self"), F.lit(0)))
     agg = j.groupBy("node").agg(
         F.sum("_terms").cast("long").alias("cn_pest"),

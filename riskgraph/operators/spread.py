@@ -4,8 +4,9 @@ Graph operators join many rows (edges, walkers, shared neighbours) with one
 table of a few rows per node.  A node may hold a third of the edges, so a key with
 more than ``T`` rows is dealt out to ``ceil(rows / T)`` salts: each of its many rows goes to the salt that the hash
 of its other columns names, and the node's own row is repeated for each salt.
-``T = max(ROWS, 2 * rows / MAX_HUBS)``: at most ``MAX_HUBS / 2`` keys are salted, so their table has
-a proven bound and is broadcast, and all salts together repeat at most ``MAX_HUBS`` rows more.
+``T = max(ROWS, rows / (SHARE * partitions))``, a quarter of what a task gets on average: no more than
+``SHARE * partitions`` keys can be salted, so their table has a proven bound and is broadcast, and all
+salts together repeat no more than twice as many rows.
 """
 
 from __future__ import annotations
@@ -18,22 +19,27 @@ from pyspark.sql import functions as F
 
 from riskgraph.session import cut_lineage, ensure_checkpoint_dir
 
-ROWS = 10_000          # rows of one key that a task may get at once
-MAX_HUBS = 50_000
+ROWS = 10_000          # keys of fewer rows are never hot
+SHARE = 4
 SALT = "_salt"
 
 
 class Spread:
-    """Salts of the hot keys of ``many[key]``.  ``factor``: rows that a row of ``many`` stands for."""
-
-    def __init__(self, many: DataFrame, key: str, rows: int = ROWS, max_hubs: int = MAX_HUBS, factor: int = 1):
-        counts = many.groupBy(F.col(key).alias("_key")).agg((F.count(F.lit(1)) * factor).alias("_n"))
-        total = many.count() * factor
-        self.threshold = max(rows, -(-2 * total // max_hubs))
-        self.salts = counts.where(F.col("_n") > self.threshold).select("_key", F.ceil(F.col("_n") / F.lit(self.threshold)).cast("int").alias("_salts"))
+    """Salts of the hot keys of ``many[key]``.  ``factor``: rows that a row of ``many`` stands for;
+    ``rows``: another threshold than the module's."""
+
+    def __init__(self, many: DataFrame, key: str, rows: int | None = None, factor: int = 1, counts: DataFrame | None = None):
+        """``counts(<key>, n)``: the rows of each key, if they are known already."""
+        if counts is None:
+            counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.select(F.col(key).alias("_key"), (F.col("n") * factor).alias("_n"))
+        total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+        parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.threshold = rows or max(ROWS, -(-(total or 0) // (SHARE * parts)))
         self.n_hubs = 0
-        if total > self.threshold:
-            self.salts = cut_lineage(self.salts)
+        if (most or 0) > self.threshold:
+            self.salts = cut_lineage(counts.where(F.col("_n") > self.threshold)
+                                     .select("_key", F.ceil(F.col("_n") / F.lit(self.threshold)).cast("int").alias("_salts")))
             self.n_hubs = self.salts.count()
 
     def many(self, df: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
@@ -78,10 +84,10 @@ class Layout:
     """Edges (src, dst, w) kept in place over the turns of a loop: hot sources salted, all bucketed by
     source and salt, so that a turn moves the values on the nodes only."""
 
-    def __init__(self, edges: DataFrame, rows: int = ROWS, max_hubs: int = MAX_HUBS):
+    def __init__(self, edges: DataFrame, rows: int | None = None):
         w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
         e = cut_lineage(edges.select("src", "dst", w.alias("w")))
-        self.spread = Spread(e, "src", rows, max_hubs)
+        self.spread = Spread(e, "src", rows)
         self.keys = ["src", SALT] if self.spread.n_hubs else ["src"]
         self.edges = bucketed(self.spread.many(e, "src", ["dst"]) if self.spread.n_hubs else e, self.keys)
 

@@ -77,7 +77,7 @@ def test_propagator_hub_path_matches_plain(spark):
     e = spark.createDataFrame(edges, "src string, dst string")
     vals = spark.createDataFrame([("h", 2.0)] + [(f"l{i}", float(i)) for i in range(50)], "node_id string, x double")
     plain = Propagator(e)
-    split = Propagator(e, max_hubs=1000, rows=5)
+    split = Propagator(e, rows=5)
     assert plain.n_hubs == 0 and split.n_hubs == 1
     for agg in ("sum", "min", "max"):
         a = {r["node_id"]: r["x"] for r in plain.push(vals, ["x"], agg=agg).collect()}

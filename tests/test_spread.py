@@ -56,7 +56,7 @@ def test_edges_stay_in_place(spark, star):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for rows, hubs in ((SP.ROWS, 1), (10 ** 9, 0)):
+        for rows, hubs in ((None, 1), (10 ** 9, 0)):
             prop = C.Propagator(e, rows=rows)
             assert prop.n_hubs == hubs
             turn = prop.push(nodes, ["x"])
@@ -108,7 +108,7 @@ def test_salted_operators_equal_plain_ones(spark, monkeypatch):
 
     # every key with more than 5 rows is a hub now
     init = SP.Spread.__init__
-    monkeypatch.setattr(SP.Spread, "__init__", lambda self, many, key, rows=5, max_hubs=10 ** 6, factor=1: init(self, many, key, 5, 10 ** 6, factor))
+    monkeypatch.setattr(SP.Spread, "__init__", lambda self, many, key, rows=None, factor=1, counts=None: init(self, many, key, 5, factor, counts))
     seen = []
     join = SP.Spread.join
     monkeypatch.setattr(SP.Spread, "join", lambda self, *a, **k: seen.append(self.n_hubs) or join(self, *a, **k))
