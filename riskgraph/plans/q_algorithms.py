@@ -10,6 +10,7 @@ from riskgraph.operators import centrality as C
 from riskgraph.operators import community as CO
 from riskgraph.operators import embed as EM
 from riskgraph.operators import graph as G
+from riskgraph.operators import structure as ST
 from riskgraph.plans import sql as S
 from riskgraph.plans.registry import query
 from riskgraph.sources import fixtures as FX
@@ -192,6 +193,31 @@ def q_modularity(spark, sf):
     return CO.modularity(g, comm)
 
 
+@query("louvain")
+def q_louvain(spark, sf):
+    """H-C9: Louvain community of every projection node, and its size."""
+    c = CO.louvain(proj(spark, sf))
+    return c.join(c.groupBy("community_id").agg(F.count(F.lit(1)).alias("community_size")), "community_id")
+
+
+_PROJ_TRIANGLES = [s.replace("FROM edges WHERE", "FROM proj_edges WHERE").replace("FROM nodes n", "FROM proj_nodes n") for s in [_STORED_UND]]
+_STRUCTURE = f"""
+SELECT n.node_id, n.key, d.degree, p.pagerank, a.article_rank, x.eigenvector, t.triangle_count, t.local_clustering, k.core_value
+FROM ({S.with_(*_P)}SELECT * FROM proj_nodes WHERE label = 'Entity') n
+JOIN ({S.with_(*_P)}SELECT src AS node_id, count(*) AS degree FROM proj_edges GROUP BY src) d ON d.node_id = n.node_id
+JOIN ({_rank_sql("0", 20, "pagerank")}) p ON p.node_id = n.node_id
+JOIN ({_rank_sql("(SELECT count(*) FROM proj_edges) / (SELECT count(*) FROM proj_nodes)", 20, "article_rank")}) a ON a.node_id = n.node_id
+JOIN ({_eigen_sql(20)}) x ON x.node_id = n.node_id
+JOIN ({S.with_(*_P, *_PROJ_TRIANGLES)}SELECT * FROM tcc) t ON t.node_id = n.node_id
+JOIN ({_kcore_sql(12)}) k ON k.node_id = n.node_id"""
+
+
+@query("structural_features", sql=_STRUCTURE)
+def q_structural_features(spark, sf):
+    """H-C12: degree, PageRank, ArticleRank, eigenvector, triangles, clustering and core of every entity in one frame."""
+    return ST.structural_features(proj(spark, sf))
+
+
 @query("fastrp")
 def q_fastrp(spark, sf):
     """H-E1: FastRP embeddings (dim 64, weights .8, 1, 1, 1) of entities."""
