@@ -49,27 +49,29 @@ class Propagator:
 def rank_scores(g: Graph, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """H-C2, H-C3 and H-C4 in one set of turns: ``node_id, degree, pagerank, article_rank, eigenvector``.
 
-    All three push a value along each edge, so each turn pushes three columns over the kept edges.
+    All three push a value along each edge, so each turn pushes three columns over the kept edges.  A loop
+    of weight 0 at each node hands on its degree and, as A + I asks, its eigenvector entry; so a turn is one
+    join and one aggregation, without a second look at the state.
     The eigenvector is brought to length 1 at every cut and at the end; in between it only grows by a factor."""
     nodes = cut_lineage(g.nodes.select("node_id").join(out_degree(g), "node_id", "left")
                         .select("node_id", F.coalesce("out_degree", F.lit(0)).cast("long").alias("degree")))
     n, m = nodes.agg(F.count(F.lit(1)), F.sum("degree")).first()
-    prop = Propagator(g.edges.select("src", "dst"))
+    loops = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("w"))
+    layout = Layout(g.edges.select("src", "dst", F.lit(1.0).alias("w")).unionByName(loops))
     base, mean = 1.0 - damping, m / n if n else 0.0
-    cols = ["p", "a", "x"]
     state = nodes.select("node_id", "degree", F.lit(base).alias("p"), F.lit(base).alias("a"), F.lit(1.0).alias("x"))
 
     def unit(df):
         norm = df.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
         return df.withColumn("x", F.col("x") / F.lit(norm))
     for turn in range(1, iterations + 1):
-        some = F.col("degree") > 0
-        sent = state.select("node_id", F.when(some, F.col("p") / F.col("degree")).alias("p"),
-                            F.when(some, F.col("a") / (F.col("degree") + F.lit(mean))).alias("a"), "x")
-        got = prop.push(sent, cols).select("node_id", *[F.col(c).alias(f"_{c}") for c in cols])
-        new = state.join(got, "node_id", "left").fillna(0.0, [f"_{c}" for c in cols])
-        state = new.select("node_id", "degree", (F.lit(base) + F.lit(damping) * F.col("_p")).alias("p"),
-                           (F.lit(base) + F.lit(damping) * F.col("_a")).alias("a"), (F.col("x") + F.col("_x")).alias("x"))
+        share = F.greatest("degree", F.lit(1))          # a node without edges sends nothing
+        sent = state.select("node_id", "degree", (F.col("p") / share).alias("p"), (F.col("a") / (share + F.lit(mean))).alias("a"), "x")
+        heard = layout.join(sent).groupBy(F.col("dst").alias("node_id")).agg(
+            F.sum(F.when(F.col("w") == 0, F.col("degree"))).alias("degree"), F.sum(F.col("p") * F.col("w")).alias("p"),
+            F.sum(F.col("a") * F.col("w")).alias("a"), F.sum("x").alias("x"))
+        state = heard.select("node_id", "degree", (F.lit(base) + F.lit(damping) * F.col("p")).alias("p"),
+                             (F.lit(base) + F.lit(damping) * F.col("a")).alias("a"), "x")
         if turn % 4 == 0 or turn == iterations:
             state = unit(cut_lineage(state))
     return state.select("node_id", "degree", F.col("p").alias("pagerank"), F.col("a").alias("article_rank"), F.col("x").alias("eigenvector"))

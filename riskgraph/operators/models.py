@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -62,8 +62,7 @@ def classifier(name: str, n_features: int | None = None, **kw):
     """M-T1..M-T10: estimator by name with the reference's settings."""
     common = dict(featuresCol="vec", labelCol="label")
     if name == "lr":
-        return LogisticRegression(maxIter=1000, regParam=kw.get("regParam", 0.0),
-                                  elasticNetParam=kw.get("elasticNetParam", 0.0), **common)
+        return LogisticRegression(maxIter=1000, elasticNetParam=kw.get("elasticNetParam", 0.0), **_penalty(kw), **common)
     if name == "rf":
         return RandomForestClassifier(numTrees=kw.get("numTrees", 100), maxDepth=kw.get("maxDepth", 10),
                                       seed=SEED, featureSubsetStrategy=kw.get("featureSubsetStrategy", "auto"), **common)
@@ -74,7 +73,7 @@ def classifier(name: str, n_features: int | None = None, **kw):
                              stepSize=kw.get("stepSize", 0.1), subsamplingRate=kw.get("subsamplingRate", 1.0),
                              seed=SEED, **common)
     if name == "svc":
-        return LinearSVC(maxIter=kw.get("maxIter", 1000), regParam=kw.get("regParam", 0.0), **common)
+        return LinearSVC(maxIter=kw.get("maxIter", 1000), **_penalty(kw), **common)
     if name == "nb":
         return NaiveBayes(modelType=kw.get("modelType", "gaussian"), **common)
     if name == "mlp":
@@ -84,6 +83,17 @@ def classifier(name: str, n_features: int | None = None, **kw):
     raise ValueError(f"unknown classifier {name!r}")
 
 
+def _penalty(kw: dict) -> dict:
+    return {"regParam": kw["regParam"]} if "regParam" in kw else {}
+
+
+def with_penalty(est, n: int, c: float = 1.0):
+    """An estimator whose penalty isn't set gets 1 / (C n) for n training rows."""
+    if est.hasParam("regParam") and not est.isSet("regParam"):
+        return est.copy({est.getParam("regParam"): 1.0 / (c * max(n, 1))})
+    return est
+
+
 def with_vector(df: DataFrame, col: str = "features") -> DataFrame:
     return df.withColumn("vec", array_to_vector(F.col(col)))
 
@@ -91,7 +101,7 @@ def with_vector(df: DataFrame, col: str = "features") -> DataFrame:
 def fit_score(est, train: DataFrame, test: DataFrame, col: str = "features") -> DataFrame:
     """Fit on train, score test: prediction (0/1) and score = P(class 1)
     (for margin-only models the sigmoid of the raw margin; T13)."""
-    model = est.fit(with_vector(train, col))
+    model = with_penalty(est, train.count()).fit(with_vector(train, col))
     pred = model.transform(with_vector(test, col))
     if "probability" in pred.columns:
         score = vector_to_array(F.col("probability"))[1]
@@ -152,6 +162,7 @@ def cross_validate(est, df: DataFrame, k: int = 5, metric: str = "areaUnderROC",
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName=metric) \
         if metric in ("areaUnderROC", "areaUnderPR") else \
         MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=metric)
+    est = with_penalty(est, df.count() * (k - 1) // k)
     cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=ev, foldCol="fold", numFolds=k, seed=SEED)
     model = cv.fit(with_vector(folded, col))
     spark = df.sparkSession
@@ -192,6 +203,37 @@ def regressor(name: str, **kw):
     raise ValueError(f"unknown regressor {name!r}")
 
 
+def choose_model(data: DataFrame, estimators: dict, k: int = 3, regression: bool = False, col: str = "features",
+                 key: str = "entity_id", stratum: str = "stratum") -> tuple[DataFrame, DataFrame]:
+    """M-P1..M-P3: fit each estimator in k folds of the rows that are no test rows, take the best by mean
+    ROC AUC (regression: RMSE), refit it on all of them, and score every row.
+
+    ``data(key, features, label, is_test, stratum)``; the scaler is fitted on training rows too, and the folds are
+    balanced by ``stratum``.  Returns the scored rows (prediction, and score = P(class 1) for classes) and
+    a row for each estimator: model, metric, cv_mean, cv_std, chosen, held_out (the metric on test rows)."""
+    train = data.where(~F.col("is_test"))
+    m, s = fit_standard_scaler(train, col)
+    scaled = cut_lineage(apply_scaler(data, m, s, col))
+    folded = cut_lineage(with_vector(R.kfold_assign(scaled.where(~F.col("is_test")), stratum, key, k), col))
+    ev = RegressionEvaluator(labelCol="label", metricName="rmse") if regression else BinaryClassificationEvaluator(labelCol="label")
+    every, rows, best, n = with_vector(scaled, col), [], None, folded.count()
+    for name, est in estimators.items():
+        est = with_penalty(est, n)
+        cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=ev, foldCol="fold", numFolds=k, seed=SEED, parallelism=k)
+        found = cv.fit(folded)
+        mean = float(found.avgMetrics[0])
+        held = float(ev.evaluate(found.bestModel.transform(every.where("is_test"))))
+        rows.append([name, ev.getMetricName(), mean, float(found.stdMetrics[0]), False, held])
+        if best is None or (mean < best[0] if regression else mean > best[0]):
+            best = (mean, found.bestModel, len(rows) - 1)
+    rows[best[2]][4] = True
+    pred = best[1].transform(every)
+    if not regression:
+        pred = pred.withColumn("score", vector_to_array(F.col("probability"))[1]).withColumn("prediction", F.col("prediction").cast("int"))
+    report = data.sparkSession.createDataFrame([tuple(r) for r in rows], "model string, metric string, cv_mean double, cv_std double, chosen boolean, held_out double")
+    return pred.drop("vec", "rawPrediction", "probability"), report
+
+
 def fit_predict_regression(est, train: DataFrame, test: DataFrame, col: str = "features") -> DataFrame:
     model = est.fit(with_vector(train, col))
     return model.transform(with_vector(test, col)).drop("vec")

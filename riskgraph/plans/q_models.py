@@ -13,6 +13,7 @@ from riskgraph.operators import linkpred as L
 from riskgraph.operators import metrics as M
 from riskgraph.operators import models as MD
 from riskgraph.operators import sage as SG
+from riskgraph.operators import structure as ST
 from riskgraph.operators import relational as R
 from riskgraph.plans import sql as S
 from riskgraph.plans.registry import query
@@ -158,75 +159,89 @@ def q_flatten_report(spark, sf):
     return long
 
 
-def _entity_features(spark, sf):
-    """Per-entity features: projection degree and PageRank (target edges
-    excluded, T7), inspection count and mean trailing counters; label and
-    rate from C-A2."""
-    i = FX.inspections(spark, sf)
-    g = G.pest_projection(i, exclude_target_edges=True)
-    ents = G.nodes_of(g, "Entity").select("node_id", F.col("key").cast("long").alias("entity_id"))
-    deg = G.degrees(g, "out")
-    pr = C.pagerank(g, 20)
-    stats = i.groupBy(F.col("enty_id").alias("entity_id")).agg(
-        F.count(F.lit(1)).alias("total_inspections"),
-        F.avg("enty_exams_90d").alias("exams_90d"), F.avg("enty_exams_1yr").alias("exams_1yr"))
-    tgt = R.entity_targets_by_inspection(i).select("entity_id", "has_pest", "pest_rate")
-    f = ents.join(deg, "node_id").join(pr, "node_id").join(stats, "entity_id").join(tgt, "entity_id")
-    feats = ["degree", "pagerank", "total_inspections", "exams_90d", "exams_1yr"]
-    return cut_lineage(f.select("entity_id", F.array(*[F.col(c).cast("double") for c in feats]).alias("features"),
-                                F.col("has_pest").alias("label"), "pest_rate"))
+_COUNTERS = ["total_inspections", "exams_90d", "exams_1yr", "pests_1yr"]
+
+
+def _entity_features(spark, sf, communities=False, fastrp_dim=0):
+    """Per entity: structural features of the projection (target edges excluded, T7), inspection counters and,
+    on request, Louvain community size and FastRP; label and rate from C-A2; the test fifth of each class marked."""
+    from riskgraph.operators import embed as EM
+    base = FX.inspections(spark, sf, with_counters=False)
+    g = G.pest_projection(base, exclude_target_edges=True)
+    g = G.Graph(cut_lineage(g.nodes), cut_lineage(g.edges), g.undirected)
+    f = ST.structural_features(g, communities=communities)
+    names = ST.COLUMNS + (["community_size"] if communities else []) + _COUNTERS
+    stats = FX.inspections(spark, sf).groupBy(F.col("enty_id").alias("entity_id")).agg(
+        F.count(F.lit(1)).alias("total_inspections"), F.avg("enty_exams_90d").alias("exams_90d"),
+        F.avg("enty_exams_1yr").alias("exams_1yr"), F.avg("enty_pests_1yr").alias("pests_1yr"))
+    tgt = R.entity_targets_by_inspection(base).select("entity_id", "has_pest", "pest_rate")
+    f = f.withColumn("entity_id", F.col("key").cast("long")).join(stats, "entity_id").join(tgt, "entity_id")
+    feats = F.array(*[F.col(c).cast("double") for c in names])
+    if fastrp_dim:
+        f = f.join(EM.fastrp(g, fastrp_dim, (1.0, 1.0, 1.0)), "node_id")
+        feats = F.concat(feats, "embedding")
+    f = f.select("entity_id", feats.alias("features"), F.col("has_pest").alias("label"), "pest_rate", F.col("has_pest").alias("stratum"))
+    return cut_lineage(R.stratified_split(cut_lineage(f), "label", "entity_id", 0.2, 42))
+
+
+def _classify(f):
+    nf = len(f.select("features").first()[0])
+    return MD.choose_model(f, {"logistic_regression": MD.classifier("lr"), "random_forest": MD.classifier("rf", nf)}, 3)
+
+
+def _regress(f):
+    return MD.choose_model(f.withColumn("label", F.col("pest_rate")), {"linear_regression": MD.regressor("lin"), "random_forest": MD.regressor("rf")},
+                           3, regression=True)
 
 
 @query("node_classification")
 def q_node_classification(spark, sf):
-    """M-P1: entity features -> stratified split -> logistic regression ->
-    class, both probabilities, three-band risk, actual class."""
-    f = _entity_features(spark, sf)
-    s = R.stratified_split(f, "label", "entity_id", 0.2, 42)
-    m, sd = MD.fit_standard_scaler(s.where(~F.col("is_test")))
-    s = MD.apply_scaler(s, m, sd)
-    p = MD.fit_score(MD.classifier("lr"), s.where(~F.col("is_test")), s)
+    """M-P1: structural features and counters -> stratified split .2 -> logistic regression and random
+    forest in 3 folds, the better one refitted -> class, both probabilities, three-band risk, actual class."""
+    p, _ = _classify(_entity_features(spark, sf))
     return p.select("entity_id", F.col("prediction").alias("predicted_pest_class"),
                     (1.0 - F.col("score")).alias("prob_no_pest"), F.col("score").alias("prob_pest"),
                     F.col("label").alias("actual_pest_class"),
-                    X.risk_band("score", "three").alias("pest_risk_category"))
+                    X.risk_band("score", "three").alias("pest_risk_category"), "is_test")
 
 
 @query("node_regression")
 def q_node_regression(spark, sf):
-    """M-P2: entity features -> linear regression (penalty 1) of the pest
-    rate -> clip -> thresholds .5/.3/.2 -> five-band risk."""
-    f = _entity_features(spark, sf).withColumn("label", F.col("pest_rate"))
-    m, sd = MD.fit_standard_scaler(f)
-    f = MD.apply_scaler(f, m, sd)
-    p = MD.fit_predict_regression(MD.regressor("lin"), f, f)
+    """M-P2: the same features -> split .2 -> linear regression (penalty 1) and random forest in 3 folds of the
+    pest rate -> clip -> thresholds .5/.3/.2 -> five-band risk."""
+    p, _ = _regress(_entity_features(spark, sf))
     sc = X.clip("prediction")
     return p.select("entity_id", sc.alias("predicted_pest_score"), F.col("pest_rate").alias("actual_pest_score"),
                     X.threshold(sc, 0.5).alias("predicted_pest_binary_05"),
                     X.threshold(sc, 0.3).alias("predicted_pest_binary_03"),
                     X.threshold(sc, 0.2).alias("predicted_pest_binary_02"),
                     X.risk_band(sc, "five").alias("pest_risk_category"),
-                    X.threshold("pest_rate", 0.0, strict=True).alias("actual_pest_binary"))
+                    X.threshold("pest_rate", 0.0, strict=True).alias("actual_pest_binary"), "is_test")
 
 
 @query("ml_combined")
 def q_ml_combined(spark, sf):
-    """M-P3: classification (random forest) and regression (random forest)
-    merged by a full outer join, with actuals, bands and thresholds."""
-    f = _entity_features(spark, sf)
-    c = MD.fit_score(MD.classifier("rf", 5), f, f).select(
-        "entity_id", F.col("prediction").alias("ml_predicted_class"),
-        (1.0 - F.col("score")).alias("ml_prob_no_pest"), F.col("score").alias("ml_prob_pest"))
-    r = MD.fit_predict_regression(MD.regressor("rf"), f.withColumn("label", F.col("pest_rate")), f) \
-        .select("entity_id", X.clip("prediction").alias("ml_predicted_score"))
+    """M-P3: 12 features (with Louvain) and FastRP (32) -> classification and regression, each the better of two
+    models by 3 folds, merged by a full outer join, with actuals, bands and thresholds."""
+    f = _entity_features(spark, sf, communities=True, fastrp_dim=32)
+    c = _classify(f)[0].select("entity_id", F.col("prediction").alias("ml_predicted_class"),
+                               (1.0 - F.col("score")).alias("ml_prob_no_pest"), F.col("score").alias("ml_prob_pest"))
+    r = _regress(f)[0].select("entity_id", X.clip("prediction").alias("ml_predicted_score"))
     merged = R.merge_predictions(c, r, "entity_id")
-    act = f.select("entity_id", F.col("label").alias("actual_pest_binary"), F.col("pest_rate").alias("actual_pest_rate"))
+    act = f.select("entity_id", F.col("label").alias("actual_pest_binary"), F.col("pest_rate").alias("actual_pest_rate"), "is_test")
     out = R.attach_actuals(merged, act, "entity_id")
     return out.withColumns({"ml_pest_risk_category": X.risk_band("ml_predicted_score", "five"),
                             "ml_score_binary_05": X.threshold("ml_predicted_score", 0.5),
                             "ml_score_binary_03": X.threshold("ml_predicted_score", 0.3)})
 
 
+@query("entity_model_report")
+def q_entity_model_report(spark, sf):
+    """M-P1, M-P2 / M-V1: per task and model the 3-fold mean and deviation, which one was taken, and its metric on the held-out fifth."""
+    f = _entity_features(spark, sf)
+    return _classify(f)[1].withColumn("task", F.lit("classification")).unionByName(_regress(f)[1].withColumn("task", F.lit("regression")))
+
+
 _LINK_SAMPLES = S.with_(S.BASE, S.NODES, S.MERGED_EDGES, S.LINKS) + """,
 ents AS (SELECT DISTINCT entity_node_id FROM links),
 outs AS (SELECT node_id AS pest_node_id FROM nodes WHERE label = 'TargetProxy'),
