@@ -66,7 +66,4 @@ def q_stream_score(spark, sf):
     keys = ST.read_stream(spark, spark_keys, keys_schema).select(
         F.col("l_suppkey").alias("filer"), F.col("l_orderkey").alias("entry_nbr"),
         F.col("l_linenumber").alias("line_nbr"))
-    from pyspark.ml.functions import vector_to_array
-    scored = model.transform(keys.join(feats, ["filer", "entry_nbr", "line_nbr"]))
-    out = scored.select("filer", "entry_nbr", "line_nbr", vector_to_array("probability")[1].alias("score"))
-    return ST._run_to_table(out, "append")
+    return ST.stream_score(keys, feats, model, ["filer", "entry_nbr", "line_nbr"])
