@@ -41,4 +41,4 @@ def query(name: str, sql: str | None = None, round_places: int | None = 6):
 def load_all() -> None:
     """Import every query module so its decorators run."""
     from riskgraph.plans import (q_relational, q_graph, q_link, q_metrics,  # noqa: F401
-                                 q_algorithms, q_models, q_streaming)
+                                 q_algorithms, q_models, q_streaming, q_io)

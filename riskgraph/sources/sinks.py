@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,18 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", mode: str
         df.write.mode(mode).format(fmt).save(path)
 
 
+def read_predictions(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A table that ``write_predictions`` has written; CSV columns are checked against the header."""
+    if fmt == "csv":
+        return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report that ``write_report`` has written."""
+    return spark.read.schema("section string, metric string, value double, text string").json(path)
+
+
 def write_report(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A-W2: metrics rows (section, metric, value) as JSON lines."""
     metrics.write.mode(mode).json(path)

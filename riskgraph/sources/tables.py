@@ -45,18 +45,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_inspections(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+BAD_ROW = "_bad_row"
+
+
+def read_inspections(spark: SparkSession, path: str, fmt: str = "csv", keep_bad: bool = False) -> DataFrame:
     """A-S1: inspection rows with the §1.2 schema (never ``inferSchema``);
-    upper-case source names are mapped to lower case."""
-    reader = spark.read.schema(INSPECTION_SCHEMA)
-    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    upper-case source names are mapped to lower case.
+
+    A CSV line that doesn't fit the schema (a word where a number stands, too few or too many
+    fields) is set aside: left out, or with ``keep_bad`` kept with its text in ``_bad_row``
+    (NULL for good rows)."""
+    if fmt == "csv":
+        # read as text and cast here: the reader's own cast looks at the selected columns only, so that
+        # which lines are bad would depend on the query
+        fields = INSPECTION_SCHEMA.fields
+        text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField("_line", T.StringType())])
+        raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+        typed = {f.name: F.expr(f"try_cast({f.name} AS {f.dataType.simpleString()})") for f in fields}
+        odd = F.lit(False)
+        for f in fields:
+            odd = odd | (F.col(f.name).isNotNull() & typed[f.name].isNull())
+        line = F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in fields])
+        df = raw.select(*[typed[f.name].alias(f.name) for f in fields], F.coalesce(F.col("_line"), F.when(odd, line)).alias(BAD_ROW))
+    else:
+        df = spark.read.schema(INSPECTION_SCHEMA).format(fmt).load(path).withColumn(BAD_ROW, F.lit(None).cast("string"))
     df = df.withColumnsRenamed(INSPECTION_RENAMES)
-    counters = [c for c in df.columns if c.startswith("enty_exams") or c.startswith("enty_pests")]
-    return X.cast_counters(df, ["target_proxy", *counters])
+    return df if keep_bad else df.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
 
 
 def inspection_summary(insp: DataFrame) -> DataFrame:
-    """A-S1 log line as a one-row frame: rows and distinct entities."""
+    """A-S1 log line as a one-row frame: rows and distinct entities (and bad rows, if they were kept)."""
+    if BAD_ROW in insp.columns:
+        good = F.col(BAD_ROW).isNull()
+        return insp.agg(F.count_if(good).alias("n_rows"), F.countDistinct(F.when(good, F.col("enty_id"))).alias("n_entities"),
+                        F.count_if(~good).alias("n_bad"))
     return insp.agg(F.count(F.lit(1)).alias("n_rows"),
                     F.countDistinct("enty_id").alias("n_entities"))
 
@@ -85,12 +107,16 @@ def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
     return [c for c, t in df.dtypes if c not in ex and t in ("double", "float", "int", "bigint")]
 
 
-def read_new_entities(df: DataFrame, features: Sequence[str], key: str = "entity_id") -> DataFrame:
-    """A-S5: new rows with the trained feature columns in training order."""
+def read_new_entities(spark: SparkSession, path: str, features: Sequence[str], key: str = "entity_id") -> DataFrame:
+    """A-S5: new rows of a CSV with header: the trained feature columns in training order, as numbers.
+
+    Columns are found by name, whatever their order in the file; others are ignored, a lacking one is an
+    error, a value that is no number is NULL (for the fill or imputation that follows)."""
+    df = spark.read.option("header", True).csv(path)
     missing = [c for c in features if c not in df.columns]
     if missing:
         raise ValueError(f"new-entity table lacks trained features: {missing}")
-    return df.select(key, *features)
+    return df.select(key, *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in features])
 
 
 def lookup_features(features: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
