@@ -59,6 +59,11 @@ def level0(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, n_words long, same binary, ms array<long>")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, text``: the one form in which texts are shuffled, so that Spark sends them once for all joins of a query."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
 def candidate_keys(scanned: DataFrame) -> DataFrame:
     """``doc_id, th, ms``: of each text of a document the half-length windows that another document holds too."""
     first = scanned.select("doc_id", "th", F.explode("ms").alias("m"))
@@ -87,7 +92,7 @@ def repeated_windows(docs: DataFrame, keys: DataFrame, length: int) -> DataFrame
         cat = lambda x: np.concatenate(x) if x else []
         return {"doc_id": cat(ids), "th": cat(ths), "pos": cat(pos), "h": cat(hs)}
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(keys, ["doc_id", "th"])
+    texts = keyed(docs).join(keys, ["doc_id", "th"])
     windows = map_batches(texts.select("doc_id", "th", "text", "ms"), extend, "doc_id long, th long, pos int, h long")
     least = windows.groupBy("h").agg(F.min("doc_id").alias("lo"))
     return (windows.join(least, "h").where("doc_id > lo")
@@ -108,7 +113,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     keys = cut_lineage(candidate_keys(scanned.join(copies, ["doc_id", "th"], "left_anti")))
     starts = repeated_windows(src, keys, length)
     marks = starts.unionByName(copies.select("doc_id", "th", F.array(F.lit(-1)).alias("starts")))
-    rows = src.withColumn("th", F.xxhash64("text")).join(marks, ["doc_id", "th"], "left").select("doc_id", "text", "starts")
+    rows = keyed(src).join(marks, ["doc_id", "th"], "left").select("doc_id", "text", "starts")
 
     def cut(cols):
         out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")}
