@@ -15,9 +15,8 @@ side by side with numpy, so a lane's end also ends a phrase."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +26,8 @@ from riskgraph.session import cut_lineage
 TRAIN_BYTES, TRAIN_ROWS, SPAN = 40_000, 200, 2_000
 LANE, PART = 512, 8_000_000
 SHARPNESS = 24
-LETTER = re.compile(r"[^\W\d_]")
-SQL_LETTER = r"[\p{L}\p{Nl}\p{No}]"     # the same characters for Spark's functions
+LETTER = regex.compile(r"\p{L}")
+SQL_LETTER = r"\p{L}"
 ASCII_OTHER = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
