@@ -97,22 +97,37 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0]
 
 
+def labels_of(postfix: list[str]) -> set[str]:
+    """All labels in the alternatives of ``evaluate``, without forming them: an exception behind ``with`` has none."""
+    stack: list[set[str]] = []
+    for t in postfix:
+        if t in RANK:
+            b, a = stack.pop(), stack.pop()
+            if t != "with":
+                small, a = sorted((a, b), key=len)
+                a |= small
+            stack.append(a)
+        else:
+            stack.append({x} if (x := label_of(t)) else set())
+    return stack[0]
+
+
 def tag_labels(line: str) -> set[str]:
-    """Labels of the longest well-formed expression at the start of what follows a tag on its line."""
+    """Labels of the longest well-formed expression at the start of what follows a tag on its line; one pass over the line."""
     tokens: list[str] = []
+    end, depth, operand_next = 0, 0, True
     for m in TOKEN.finditer(line):
-        tokens.append(m[0])
-    # the expression ends where two identifiers meet without an operator
-    end, operand_next = 0, True
-    for t in tokens:
-        if t == "(" and not operand_next or t not in RANK and t not in "()" and not operand_next:
-            break
+        t = m[0]
+        opens = t == "(" or t not in RANK and t != ")"
+        if opens != operand_next or t == ")" and not depth:
+            break                                   # nothing that goes on from here is well formed
+        tokens.append(t)
+        depth += (t == "(") - (t == ")")
         operand_next = t in RANK or t == "("
-        end += 1
-    for k in range(end, 0, -1):
-        if (p := to_postfix(tokens[:k])) is not None:
-            return set().union(*evaluate(p))
-    return set()
+        if not operand_next and not depth:
+            end = len(tokens)
+    p = to_postfix(tokens[:end])
+    return labels_of(p) if p else set()
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -136,9 +151,11 @@ def scan(text: str, find: ahocorasick.Automaton, tags: ahocorasick.Automaton) ->
     words = WORD.findall(text)
     hay = " " + " ".join(words) + " "
     starts, base, labels, miss = [], set(), set(), 1.0
+    passed = at = 0                                 # words that end before ``at``, carried on from match to match
     for end, phrase in find.iter(hay):
+        passed, at = passed + hay.count(" ", at, end), end
         if phrase in BASE:
-            starts.append(hay.count(" ", 0, end - len(phrase)) - 1)
+            starts.append(passed - phrase.count(" ") - 1)
             base.add(BASE[phrase])
         else:
             label, c = NOTICES[phrase]
