@@ -145,7 +145,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least:
                         .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spots"))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    held = (texts.join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    # always by shuffle: the documents that hold a spot grow with the table, and every size takes the same way
+    held = (texts.hint("shuffle_merge").join(spots, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
             .select("doc_id", "th", lower_words(F.col("text")).alias("w"), F.explode("spots").alias("spot")))
     windows = (held.select("doc_id", "th", "w", "spot.n", "spot.k", F.explode("spot.starts").alias("start"))
                .where(F.col("start") + F.least(F.col("n"), F.size("w")) <= F.size("w"))
