@@ -7,22 +7,37 @@ each weighted by how often its context was seen.  A URL without a rule is
 accepted when the difference of the log-likelihoods per character is at or
 above a threshold calibrated on examples kept out of training.
 
-N-gram counts are gathered by Spark from all examples into a table hashed to
-``BUCKETS`` cells an order, so what is sent to the tasks has a fixed size
-((ORDER + 1) x BUCKETS x 4 counts) whatever the input."""
+All n-gram counts are exact: a byte and the ``ORDER`` bytes before it are one key
+of 54 bits, and the counts of the lower orders are sums over the keys with the same
+end.  What a byte adds to the ratio depends on its key alone, so the work follows the
+different keys: Spark tables of counts, joined order by order (a context has at most
+256 successors, an n-gram at most 257 extensions, so no key of these joins is hot).
+Keys that hold more than 1 in ``FREQUENT`` of all places, so fewer than ``FREQUENT``
+of them, go to the tasks; the places of all others are joined with the table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from riskgraph.llm.common import map_batches, mix
+from riskgraph.llm.common import map_batches
+from riskgraph.operators.spread import Spread
+from riskgraph.session import cut_lineage
 
 # The rules (host, path) of the contract.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-ORDER, BUCKETS, KAPPA = 5, 1 << 15, 4.0
+ORDER, KAPPA = 5, 4.0
+SYMBOL = 9                 # bits of a byte in a key: 0 before the start of the URL, byte + 1 in it
+FREQUENT = 1 << 14         # keys with a larger share of the places than 1 / FREQUENT are sent to the tasks
+UNIT = 1 << 20             # what a place adds is rounded to 1 / UNIT, so sums do not depend on their order
+CHUNK = 1 << 20            # places that a task turns into rows at a time
 CALIBRATION_FOLDS = 5      # one example in five sets the threshold
 STEP, REACH = 0.01, 4.0    # bins of the calibration histogram
 
@@ -46,71 +61,113 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return text, verdict
 
 
-def cells(url: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each order and byte of a URL, the cell of the n-gram and that of its context (orders x bytes)."""
-    b = np.frombuffer(b"\x00" * ORDER + url, np.uint8).astype(np.uint64) + np.uint64(1)
+def keys_of(url: bytes) -> np.ndarray:
+    """For each byte of a URL, the ``ORDER`` bytes before it and the byte itself, packed with the byte lowest."""
     n = len(url)
-    gram, ctx = np.empty((ORDER + 1, n), np.intp), np.empty((ORDER + 1, n), np.intp)
-    h = np.zeros(n, np.uint64)
+    b = np.zeros(n + ORDER, np.int64)
+    b[ORDER:] = np.frombuffer(url, np.uint8)
+    b[ORDER:] += 1
+    g = np.zeros(n, np.int64)
     for k in range(ORDER + 1):
-        if k:
-            h = h * np.uint64(0x9E3779B97F4A7C15) + b[ORDER - k: ORDER - k + n]
-        ctx[k] = (mix(h) % np.uint64(BUCKETS)).astype(np.intp) + k * BUCKETS
-        gram[k] = (mix((h + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F) + b[ORDER:]) % np.uint64(BUCKETS)).astype(np.intp) + k * BUCKETS
-    return gram, ctx
+        g = (g << SYMBOL) | b[k: k + n]
+    return g
+
 
+def end_of(g: Column, order: int) -> Column:
+    """The n-gram of an order that a key ends with."""
+    return g.bitwiseAND(F.lit((1 << SYMBOL * (order + 1)) - 1).cast("long"))
 
-def counts(examples: DataFrame) -> np.ndarray:
-    """Counts (kind, model, cell) over all examples: kind 0 n-gram, 1 context; model 0 accepted, 1 rejected."""
-    size = (ORDER + 1) * BUCKETS
 
+def key_counts(urls: DataFrame) -> DataFrame:
+    """``g, good, bad, places`` for each key of ``urls(url, n, kind)``: its count in accepted (kind 1) and rejected
+    (kind 2) examples, each taken ``n`` times, and its places in all URLs, each taken once."""
     def count(cols):
-        got = np.zeros((2, 2, size), np.int64)
-        for url, ok in zip(*cols):
-            gram, ctx = cells(url)
-            m = 0 if ok else 1
-            got[0, m] += np.bincount(gram.ravel(), minlength=size) if len(url) > 4000 else 0
-            got[1, m] += np.bincount(ctx.ravel(), minlength=size) if len(url) > 4000 else 0
-            if len(url) <= 4000:
-                np.add.at(got[0, m], gram.ravel(), 1)
-                np.add.at(got[1, m], ctx.ravel(), 1)
-        flat = got.ravel()
-        at = np.flatnonzero(flat)
-        return {"cell": at, "n": flat[at]}
-
-    rows = map_batches(examples.select("url", "ok"), count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()          # at most 4 x (ORDER + 1) x BUCKETS rows
-    out = np.zeros(4 * size, np.float64)
-    out[got["cell"].to_numpy(np.intp)] = got["n"].to_numpy(np.float64)
-    return out.reshape(2, 2, size)
-
-
-def log_ratio(url: bytes, table: np.ndarray) -> float:
-    """Difference of the two models' log-likelihoods, per byte."""
-    if not url:
-        return 0.0
-    gram, ctx = cells(url)
-    p = np.full((2, len(url)), 1 / 256)
-    for k in range(ORDER + 1):
-        p = (table[0][:, gram[k]] + KAPPA * p) / (np.maximum(table[1][:, ctx[k]], table[0][:, gram[k]]) + KAPPA)
-    d = np.log(p)
-    return float((d[0] - d[1]).sum() / len(url))
+        grams = [keys_of(u) for u in cols[0]]
+        size = [len(g) for g in grams]
+        g, at, places = np.unique(np.concatenate([*grams, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+        n, kind = np.repeat(np.array(cols[1], np.float64), size), np.repeat(np.array(cols[2], np.int64), size)
+        good, bad = (np.bincount(at, n * (kind == k), len(g)).astype(np.int64) for k in (1, 2))   # exact below 2^53
+        return {"g": g, "good": good, "bad": bad, "places": places}
 
+    rows = map_batches(urls.select("url", "n", "kind"), count, "g long, good long, bad long, places long")
+    return rows.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("good", "bad", "places")])
 
-def scored(urls: DataFrame, table: np.ndarray, keep: str) -> DataFrame:
-    """``keep`` (a DDL list of other columns) and ``ratio`` for each row of ``urls``."""
-    table = table.astype(np.float32)
-    names = [x.split()[0] for x in keep.split(", ")]
-    return map_batches(urls.select(*names, "url"),
-                       lambda cols: dict(zip(names, cols)) | {"ratio": [log_ratio(u or b"", table) for u in cols[-1]]},
-                       f"{keep}, ratio double")
 
+def key_values(counts: DataFrame) -> DataFrame:
+    """``g, d, places``: what a place with key g adds to the ratio, in 1 / ``UNIT``.
 
-def threshold(examples: DataFrame, table: np.ndarray) -> float:
-    """Threshold with the least sum of both error rates on held-out examples (a histogram of fixed bins)."""
-    bins = scored(examples, table, "ok boolean").select(
-        "ok", F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), "ratio")) / STEP).cast("int").alias("bin"))
-    hist = {(r["ok"], r["bin"]): r["n"] for r in bins.groupBy("ok", "bin").agg(F.count("*").alias("n")).collect()}
+    The probability of a byte at order k is (count + KAPPA x that at order k - 1) / (context's count + KAPPA),
+    below order 0 it is 1/256."""
+    before = None
+    for k in range(ORDER + 1):
+        level = counts if k == ORDER else counts.groupBy(end_of(F.col("g"), k).alias("g")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        context = Window.partitionBy(F.shiftright("g", SYMBOL))         # at most 256 rows
+        level = level.select("*", F.sum("good").over(context).alias("n_good"), F.sum("bad").over(context).alias("n_bad"))
+        if before is None:
+            level = level.select("*", F.lit(1 / 256).alias("q_good"), F.lit(1 / 256).alias("q_bad"))
+        else:
+            lower = before.select(F.col("g").alias("_end"), F.col("p_good").alias("q_good"), F.col("p_bad").alias("q_bad"))
+            level = level.join(lower, end_of(F.col("g"), k - 1) == F.col("_end")).drop("_end")
+        before = level.select(*counts.columns[:1], *(["places"] if k == ORDER else []), *[
+            ((F.col(m) + KAPPA * F.col(f"q_{m}")) / (F.col(f"n_{m}") + KAPPA)).alias(f"p_{m}") for m in ("good", "bad")])
+    return before.select("g", F.round((F.log("p_good") - F.log("p_bad")) * UNIT).cast("long").alias("d"), "places")
+
+
+PARTS = "k1 long, k2 long, g long, n long, s long"
+
+
+def url_parts(urls: DataFrame, keys: np.ndarray, values: np.ndarray) -> DataFrame:
+    """``k1, k2, g, n, s`` of ``urls(k1, k2, url)``: one row a URL with the sum s over its places with one of
+    ``keys`` (sorted), under a negative g, and one row for each other key g with its n places."""
+    fields = to_arrow_schema(StructType.fromDDL(PARTS))
+
+    def rows(k1: list, k2: list, urls: list) -> pa.RecordBatch:
+        grams = [keys_of(u) for u in urls]
+        at = np.repeat(np.arange(len(urls)), [len(g) for g in grams])
+        g = np.concatenate([*grams, np.zeros(0, np.int64)])
+        found = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
+        known = keys[found] == g if len(keys) else np.zeros(len(g), bool)
+        sums = np.bincount(at[known], values[found[known]], len(urls)).astype(np.int64)            # exact below 2^53
+        at, g = at[~known], g[~known]
+        order = np.lexsort((g, at))
+        at, g = at[order], g[order]
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, np.intp)
+        n = np.diff(np.append(first, len(g)))
+        k1, k2 = np.array(k1, np.int64), np.array(k2, np.int64)
+        none, where = np.zeros(len(urls), np.int64), at[first]
+        columns = [(k1, k1[where]), (k2, k2[where]), (-1 - (k1 & np.int64((1 << 62) - 1)), g[first]), (none, n), (sums, np.zeros(len(n), np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1, k2, urls = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()
+            start = size = 0
+            for i, u in enumerate(urls):
+                size += len(u)
+                if size >= CHUNK or i == len(urls) - 1:
+                    yield rows(k1[start:i + 1], k2[start:i + 1], urls[start:i + 1])
+                    start, size = i + 1, 0
+    return urls.select("k1", "k2", "url").mapInArrow(run, PARTS)
+
+
+def ratios(urls: DataFrame) -> DataFrame:
+    """``k1, k2, ratio`` for each row of ``urls(k1, k2, url, n, kind)``, different URLs with a byte at least: the
+    difference of the log-likelihoods per byte under the models that the rows of kinds 1 and 2 give."""
+    values = cut_lineage(key_values(cut_lineage(key_counts(urls))))
+    total = values.agg(F.sum("places")).first()[0] or 0
+    known = values.where(F.col("places") * FREQUENT > F.lit(total)).select("g", "d").orderBy("g").toPandas()   # fewer than FREQUENT rows
+    parts = url_parts(urls, known["g"].to_numpy(np.int64), known["d"].to_numpy(np.float64))
+    rest = values.where(F.col("places") * FREQUENT <= F.lit(total)).select("g", "d")
+    sums = (parts.join(rest, "g", "left").groupBy("k1", "k2")
+            .agg(F.sum(F.col("s") + F.col("n") * F.coalesce("d", F.lit(0))).alias("s")))
+    return urls.join(sums, ["k1", "k2"]).select("k1", "k2", (F.col("s") / UNIT / F.octet_length("url")).alias("ratio"))
+
+
+def threshold(examples: DataFrame) -> float:
+    """Threshold with the least sum of both error rates on ``examples(ok, n, ratio)`` (a histogram of fixed bins)."""
+    bins = examples.select(
+        "ok", "n", F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), "ratio")) / STEP).cast("int").alias("bin"))
+    hist = {(r["ok"], r["bin"]): r["n"] for r in bins.groupBy("ok", "bin").agg(F.sum("n").alias("n")).collect()}
     good, bad = (sum(n for (o, _), n in hist.items() if o is k) for k in (True, False))
     if not good or not bad:
         return 0.0
@@ -133,15 +190,26 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A null or empty URL has ratio 0.  Without examples of both kinds every URL
     has a ratio against an empty model and the threshold is 0 (so ties are
-    allowed); repeated rows each get their row; other columns are ignored."""
+    allowed); repeated rows each get their row and count each as an example;
+    other columns are ignored."""
     host, path = host_path(F.col("url"))
-    base = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", text).withColumn("decided", verdict)
-    ex = base.where("decided is not null and length(url) > 0").select("url", (F.col("decided") == "allow").alias("ok"))
-    fold = F.crc32("url") % CALIBRATION_FOLDS == 0
-    table = counts(ex.where(~fold))
-    cut = threshold(ex.where(fold), table)
-    out = scored(base, table, "page_id long, host string, path string, rule string, decided string")
+
+    def ruled(df):
+        return df.withColumn("host", host).withColumn("path", path).withColumn("rule", text).withColumn("decided", verdict)
+    some = F.coalesce(F.length("url") > 0, F.lit(False))
+    base = ruled(pages.select("page_id", "url"))
+    # rows without a URL meet no score, so their key only has to spread them
+    base = base.withColumn("k1", F.when(some, F.xxhash64("url")).otherwise(F.xxhash64("page_id"))).withColumn(
+        "k2", F.when(some, F.xxhash64(F.lit(2), "url")))
+    urls = ruled(pages.where(some).groupBy("url").agg(F.count("*").alias("n")))
+    kind = F.when(F.col("held") | F.col("ok").isNull(), 0).when(F.col("ok"), 1).otherwise(2)
+    urls = urls.select(F.xxhash64("url").alias("k1"), F.xxhash64(F.lit(2), "url").alias("k2"), "url", "n", (F.col("decided") == "allow").alias("ok"),
+                       (F.crc32("url") % CALIBRATION_FOLDS == 0).alias("held"))
+    urls = cut_lineage(urls.withColumn("kind", kind))
+    scores = cut_lineage(ratios(urls))
+    cut = threshold(urls.where("held and ok is not null").join(scores, ["k1", "k2"]))
+    spread = Spread(urls, "k1", counts=urls.select("k1", "n"))       # a URL may be on many pages
+    out = spread.join(base, scores, "k1", ["page_id"], on=["k2"], how="left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
     return out.select("page_id", "host", "path", "rule",
                       F.coalesce("decided", F.when(F.col("ratio") >= cut, "allow").otherwise("block")).alias("verdict"), "ratio")

@@ -1,7 +1,9 @@
 """Operators against plain Python on the small driver tables and on hand-made rows."""
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -346,13 +348,65 @@ def test_url_rules_and_model(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule[1]) and (rule[2] is None or r.verdict == rule[2])
 
 
+def url_rows(spark, rows):
+    """``urls.ratios`` of (url, kind, copies), as a dict."""
+    df = spark.createDataFrame([(i, -i, u, n, k) for i, (u, k, n) in enumerate(rows)], "k1 long, k2 long, url string, n long, kind int")
+    return {r.url: r.ratio for r in urls.ratios(df).join(df, ["k1", "k2"]).collect()}
+
+
+def plain_ratios(rows):
+    """The same by dictionaries of byte strings: all orders counted and blended at each byte."""
+    counts = [defaultdict(int), defaultdict(int)]
+    grams = lambda u: [(k, *[None if j < 0 else b[j] for j in range(i - k, i + 1)]) for b in [u.encode()] for i in range(len(b)) for k in range(urls.ORDER + 1)]
+    for u, kind, n in rows:
+        for g in grams(u) if kind else ():
+            counts[kind - 1][g] += n
+            counts[kind - 1][("context", *g[:-1])] += n
+    out = {}
+    for u, _, _ in rows:
+        p, total = [1 / 256, 1 / 256], 0.0
+        for g in grams(u):
+            p = [1 / 256, 1 / 256] if g[0] == 0 else p
+            p = [(c[g] + urls.KAPPA * q) / (c[("context", *g[:-1])] + urls.KAPPA) for c, q in zip(counts, p)]
+            total += math.log(p[0] / p[1]) if g[0] == urls.ORDER else 0
+        out[u] = total / len(u.encode())
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1, 200, urls.FREQUENT])
+def test_url_ratios_equal_plain_counts(spark, monkeypatch, frequent):
+    """Whatever share of the keys is sent to the tasks: none, some, all."""
+    monkeypatch.setattr(urls, "FREQUENT", frequent)
+    monkeypatch.setattr(urls, "CHUNK", 100)
+    rng = random.Random(4)
+    rows = {"http://" + "".join(rng.choice("abé./") for _ in range(rng.randrange(1, 30))): None for _ in range(80)}
+    rows = [(u, rng.randrange(3), rng.randrange(1, 4)) for u in [*rows, "a" * 500, "\x00", "\x00a", "ÿ"]]
+    got, want = url_rows(spark, rows), plain_ratios(rows)
+    assert got.keys() == want.keys()
+    assert max(abs(got[u] - want[u]) for u in want) < 2e-6
+
+
 def test_url_ratio_tells_classes_apart(spark):
     rng = random.Random(3)
     make = lambda kind: f"https://{kind}{rng.randrange(999)}.net/{kind * rng.randrange(1, 4)}/{rng.randrange(9999)}"
-    ex = spark.createDataFrame([(make("good"), True) for _ in range(200)] + [(make("spam"), False) for _ in range(200)], "url string, ok boolean")
-    t = urls.counts(ex)
-    assert min(urls.log_ratio(make("good").encode(), t) for _ in range(50)) > 0 > max(urls.log_ratio(make("spam").encode(), t) for _ in range(50))
-    assert urls.threshold(ex, t) == pytest.approx(0, abs=1)
+    rows = {make("good" if i % 2 else "spam"): i for i in range(500)}
+    got = url_rows(spark, [(u, 0 if i >= 400 else 1 if i % 2 else 2, 1) for u, i in rows.items()])
+    assert min(got[u] for u, i in rows.items() if i >= 400 and i % 2) > 0 > max(got[u] for u, i in rows.items() if i >= 400 and not i % 2)
+    ex = spark.createDataFrame([(i % 2 == 1, 1, got[u]) for u, i in rows.items() if i >= 400], "ok boolean, n long, ratio double")
+    assert urls.threshold(ex) == pytest.approx(0, abs=1)
+
+
+def test_url_verdicts_follow_the_calibrated_ratio(spark):
+    """All pages: the ratio of the plain model, and the verdict at one threshold for all URLs without a rule."""
+    got = {r.page_id: r for r in urls.judge_urls(table(spark, SF, "pages")).collect()}
+    pages = {p.page_id: p.url for p in table(spark, SF, "pages").collect()}
+    held = lambda u: zlib.crc32(u.encode()) % urls.CALIBRATION_FOLDS == 0
+    kinds = {u: 0 if held(u) or got[i].rule is None else 1 if got[i].verdict == "allow" else 2 for i, u in pages.items()}
+    copies = Counter(pages.values())
+    want = plain_ratios([(u, k, copies[u]) for u, k in kinds.items()])
+    assert max(abs(got[i].ratio - want[u]) for i, u in pages.items()) < 2e-6
+    free = [r for r in got.values() if r.rule is None]
+    assert free and max([r.ratio for r in free if r.verdict == "block"], default=-9) < min([r.ratio for r in free if r.verdict == "allow"], default=9)
 
 
 def test_mixing(docs):
