@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from riskgraph.operators import relational as R
 from riskgraph.operators import metrics as M
 
+from conftest import SF_SMALL
+
 
 def test_class_rank_matches_sort(spark):
     random.seed(1)
@@ -116,3 +118,11 @@ def test_cuts_forget_size_estimates(spark):
         d = cut_lineage(d.join(d.select("id", F.col("t").alias("u")), "id").join(d.select("id"), "id").select("id", "t"))
         assert estimated_bits(d) < 64 and d.count() == 1000
     assert estimated_bits(d) < 20
+
+
+def test_projection_is_built_once(spark):
+    """The algorithms read the projection several times: its frames no longer read the tables."""
+    from riskgraph.plans import q_algorithms as Q
+    g = Q.proj(spark, SF_SMALL, exclude_target_edges=True)
+    assert g.undirected and g.nodes.inputFiles() == [] and g.edges.inputFiles() == []
+    assert g.edges.count() == 2 * g.edges.where("src like 'E:%'").count() > 0
