@@ -49,3 +49,10 @@ def test_rows_held_follow_the_edges_not_the_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "cut_lineage", cut)
     C.closeness(_graph(spark, n, edges), n).collect()
     assert max(held) < 2 * len(edges) < n * n / 10
+
+
+def test_null_neighbours_count_once_a_distance(spark):
+    g = _graph(spark, 4, [(0, 1), (1, 2), (2, 3)])
+    nowhere = spark.createDataFrame([("N:0", None, "R"), ("N:2", None, "R"), (None, "N:3", "R")], g.edges.schema)
+    got = {r["node_id"]: r["closeness"] for r in C.closeness(Graph(g.nodes, g.edges.unionByName(nowhere)), 3).collect()}
+    assert got == {"N:0": 5 / (1 + 2 + 3 + 1 + 3), "N:1": 3 / (1 + 2 + 2), "N:2": 2 / (1 + 1), "N:3": 0.0}
