@@ -10,6 +10,7 @@ from riskgraph.operators import linkpred as L
 from riskgraph.operators import relational as R
 from riskgraph.plans import sql as S
 from riskgraph.plans.registry import query
+from riskgraph.session import cut_lineage
 from riskgraph.sources import fixtures as FX
 
 
@@ -153,7 +154,7 @@ FROM scored CROSS JOIN mx""")
 def q_max_normalize(spark, sf):
     """B-P17: each of the four scores / its max over all pairs."""
     cols = list(X.COMPOSITE_WEIGHTS)
-    n = R.max_normalize(_scores(spark, sf), cols)
+    n = R.max_normalize(cut_lineage(_scores(spark, sf).select("entity_node_id", "pest_node_id", *cols)), cols)      # read by the maxima and by the rows
     return n.select("entity_node_id", "pest_node_id", *[f"{c}_normalized" for c in cols])
 
 
