@@ -1,11 +1,15 @@
 """Fits that use all tasks; states and inputs without needless steps."""
+import hashlib
+import math
+
 from pyspark.sql import functions as F
 
 from riskgraph.operators import embed as EM
 from riskgraph.operators import models as MD
+from riskgraph.operators.graph import Graph
 from riskgraph.plans import q_models
-from tests.conftest import make_graph
-from tests.test_pair_scores import counted, insp
+from conftest import make_graph
+from test_pair_scores import counted, insp
 
 
 def test_fits_use_more_than_one_task(spark):
@@ -39,6 +43,22 @@ def test_fastrp_writes_one_state_a_turn(spark, monkeypatch):
         assert all(abs(g_ - (0.25 * a + 0.5 * b + c)) < 1e-9 for g_, a, b, c in zip(got[n], h0[n], h1[n], h2[n]))
 
 
+def test_fastrp_draws_vectors_in_all_tasks(spark, monkeypatch):
+    g = make_graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(60)])
+    calls = counted(monkeypatch, EM, "cut_lineage")
+    EM.fastrp(Graph(g.nodes.coalesce(1), g.edges), 4, (1.0,))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks > 1 and all(args[0].rdd.getNumPartitions() == tasks for args, _ in calls[:2])
+
+
+def test_random_sign_vectors_stay_as_they_are(spark):
+    drawn = spark.createDataFrame([(f"E:{i}",) for i in range(50)] + [(None,)], "node_id string").select("node_id", EM.random_sign_vector(F.col("node_id"), 6).alias("h")).collect()
+    for node, h in drawn:
+        for i, x in enumerate(h):
+            r = 2 if node is None else int(hashlib.md5(f"42:{node}:{i}".encode()).hexdigest()[:8], 16) % 6
+            assert x == {0: math.sqrt(3.0), 1: -math.sqrt(3.0)}.get(r, 0.0)
+
+
 def test_graphsage_inputs_take_no_counters(spark, monkeypatch):
     asked = []
 
