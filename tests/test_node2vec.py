@@ -38,3 +38,42 @@ def test_node2vec(spark):
     assert all(np.array_equal(z[r.node_id], np.array(r.embedding)) for r in again.collect())
     assert EM.node2vec(walks.where("false"), dim=4, blocks=2).count() == 0
     assert got.select(F.countDistinct("node_id")).first()[0] == len(names) + 1
+
+
+def test_turn_is_dealt_to_all_tasks(spark):
+    """Each task of a turn has a partition of its own, in the order blocks, then pairs."""
+    rows = spark.range(600).selectExpr("cast(id % 12 as int) as task", "cast(id % 5 % 3 as int) as kind", "concat('n', id) as node", "'' as context")
+    got = EM._dealt(rows, 12).select("task", "kind", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("o")).collect()
+    assert len({(r.task, r.p) for r in got}) == len({r.p for r in got}) == 12
+    for t in range(12):
+        kinds = [r.kind for r in sorted(got, key=lambda r: r.o) if r.task == t]
+        assert kinds == sorted(kinds) and len(kinds) == 50
+
+
+def test_skip_gram_sums_repeated_nodes():
+    """A turn's moves of a node that comes repeatedly in a mini-batch all count, as ``np.add.at`` has them."""
+    import pyarrow as pa
+    names = ["task", "kind", "node", "context", "n", "block", "vec"]
+    vecs = np.random.default_rng(5).random((2, 3, 4)).astype(np.float32)
+
+    def rows(kind, node, context, n, block, vec):
+        m = len(node)
+        return pa.RecordBatch.from_arrays([pa.array([7] * m, pa.int32()), pa.array([kind] * m, pa.int32()), pa.array(node), pa.array(context), pa.array(n, pa.int64()),
+                                           pa.array([block] * m, pa.int32()), pa.array(vec, pa.list_(pa.float32()))], names=names)
+    none = [None] * 3
+    batches = [rows(k, list("abc"), [""] * 3, [2, 3, 1], 0, list(vecs[k])) for k in (0, 1)] + [rows(2, list("aab"), list("bca"), [3, 1, 2], None, none)]
+    got = {k: np.array(b.column(4).to_pylist(), np.float32) for b in EM._skip_gram(0.1, 2, 42, 1, 4)(iter(batches)) for k in (b.column(0)[0].as_py(),)}
+    into, out = vecs[0].copy(), vecs[1].copy()
+    rng = np.random.default_rng([42, 1, 7])
+    c, o = np.repeat([0, 0, 1], [3, 1, 2]), np.repeat([1, 2, 0], [3, 1, 2])
+    share = np.cumsum(np.array([2.0, 3, 1]) ** 0.75)
+    mixed = rng.permutation(6)
+    for k in (0, 4):
+        i, j = c[mixed[k:k + 4]], o[mixed[k:k + 4]]
+        js = np.concatenate([j[:, None], np.searchsorted(share / share[-1], rng.random((len(i), 2)), "right")], axis=1)
+        v, u = into[i].copy(), out[js].copy()
+        pull = 0.1 / (1.0 + np.exp(-np.einsum("md,mkd->mk", v, u)))
+        pull[:, 0] -= 0.1
+        np.add.at(into, i, -np.einsum("mk,mkd->md", pull, u))
+        np.add.at(out, js, -pull[:, :, None] * v[:, None, :])
+    assert np.allclose(got[0], into, atol=1e-6) and np.allclose(got[1], out, atol=1e-6)
