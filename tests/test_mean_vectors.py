@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskgraph.operators import embed as EM
+from riskgraph.operators import spread as SP
 
 from conftest import make_graph
 
@@ -13,13 +14,13 @@ from conftest import make_graph
 @pytest.mark.parametrize("heavy", [0, 8, 4096])
 def test_means(spark, monkeypatch, heavy):
     """The same means with no, some and all sources heavy; parallel edges count twice; no aggregate sorts vectors."""
-    monkeypatch.setattr(EM, "HEAVY", heavy)
+    monkeypatch.setattr(SP, "HEAVY", heavy)
     rng = random.Random(3)
     names = [f"n{i:02d}" for i in range(40)]
     edges = [("n00", n) for n in names[1:]] + [tuple(rng.sample(names[1:30], 2)) for _ in range(60)]
     g = make_graph(spark, edges + edges[:3], names)
     x = {n: [rng.gauss(0, 1) for _ in range(3)] for n in names}
-    means = EM.MeanVectors(g.edges, 3)
+    means = SP.MeanVectors(g.edges, 3)
     assert (means.n_heavy == 0) == (heavy == 0) and (means.n_heavy < 40 or heavy > 8)
     out = means.mean(spark.createDataFrame(list(x.items()), "node_id string, h array<double>"), "h")
     got = {r.node_id: r.h for r in out.collect()}
